@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import quality, secret_scan
+from . import bpe, quality, secret_scan
 
 QUERIES = {
     "op2_quality_classifier": quality.op2_quality_classifier,
+    "op6_byte_bpe": bpe.op6_byte_bpe,
     "op10_secret_scan": secret_scan.op10_secret_scan,
 }
 ORACLES: dict[str, str] = {}
