@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import bpe, jaccard, quality, secret_scan
+from . import bpe, decontamination, jaccard, quality, secret_scan
 
 QUERIES = {
     "op2_quality_classifier": quality.op2_quality_classifier,
     "op6_byte_bpe": bpe.op6_byte_bpe,
     "op7_ngram_jaccard_join": jaccard.op7_ngram_jaccard_join,
+    "op8_benchmark_decontamination": decontamination.op8_benchmark_decontamination,
     "op10_secret_scan": secret_scan.op10_secret_scan,
 }
 ORACLES: dict[str, str] = {}
