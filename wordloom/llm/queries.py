@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, jaccard, quality, secret_scan
+from . import bpe, decontamination, jaccard, quality, secret_scan, suffix_dedup
 
 QUERIES = {
     "op2_quality_classifier": quality.op2_quality_classifier,
+    "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
     "op6_byte_bpe": bpe.op6_byte_bpe,
     "op7_ngram_jaccard_join": jaccard.op7_ngram_jaccard_join,
     "op8_benchmark_decontamination": decontamination.op8_benchmark_decontamination,
