@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from . import bpe, decontamination, jaccard, quality, secret_scan, suffix_dedup
+from . import bpe, decontamination, embedding_dedup, jaccard, lm_scoring, quality, secret_scan, suffix_dedup
 
 QUERIES = {
+    "op1_lm_scoring": lm_scoring.op1_lm_scoring,
     "op2_quality_classifier": quality.op2_quality_classifier,
     "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
     "op6_byte_bpe": bpe.op6_byte_bpe,
     "op7_ngram_jaccard_join": jaccard.op7_ngram_jaccard_join,
     "op8_benchmark_decontamination": decontamination.op8_benchmark_decontamination,
+    "op9_embedding_near_dedup": embedding_dedup.op9_embedding_near_dedup,
     "op10_secret_scan": secret_scan.op10_secret_scan,
 }
 ORACLES: dict[str, str] = {}
