@@ -132,7 +132,7 @@ WITH t AS (
          sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS asked
   FROM t
 ), h AS (
-  SELECT *, sum(CASE WHEN role = 'system' THEN length(text) + 20 ELSE 0 END) OVER (PARTITION BY conv_id, coalesce(asked, 0) ORDER BY k) AS held
+  SELECT *, sum(CASE WHEN role = 'system' THEN length(text) + 19 ELSE 0 END) OVER (PARTITION BY conv_id, coalesce(asked, 0) ORDER BY k) AS held
   FROM g
 ), b AS (
   SELECT conv_id, 'bracketed' AS template, k, role, text,
