@@ -35,7 +35,10 @@ _END = r"'s|'t|'re|'ve|'m|'ll|'d"
 _WIDE = regex.compile(_END + r"| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+")
 _L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ÿ", "0-9²³¹¼-¾", "\t-\r \u0085 "
 _NARROW = re.compile(_END + f"| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
-_CACHE = 200_000
+_CACHE = 300_000
+_PREFIXES = 600_000
+#: a longer piece has a table of its own
+_LONG = 64
 
 
 def pieces(text: str) -> list[str]:
@@ -65,6 +68,9 @@ class Vocabulary:
         self.splits: dict[int, tuple[int, int]] = {}
         self.apart: dict[int, bool] = {}
         self.cache: dict[str, bytes] = {}
+        #: the last token of each prefix met so far; with a prefix, all that it begins with are there
+        self.prefixes: dict[bytes, int] = {}
+        self.size = [len(t) for t in self.tokens]
 
     def split(self, token: int) -> tuple[int, int]:
         """The two tokens of the last merge into ``token``; itself twice for a byte."""
@@ -129,10 +135,44 @@ class Vocabulary:
         whole = self.ranks.get(raw)
         if whole is not None:
             return [whole]
-        last = [-1]
-        for i in range(1, len(raw) + 1):
-            last.append(self.last_token(raw, i, last))
-        return walk_back(last, self.tokens)
+        if len(raw) > _LONG:
+            return PrefixTable(self, raw).encode()
+        # The table of prefixes is shared by all pieces: of a new piece only the prefixes that none before it had are worked out.
+        known, size, n = self.prefixes, self.size, len(raw)
+        if len(known) >= _PREFIXES:
+            known.clear()
+        i = n
+        while i and raw[:i] not in known:
+            i -= 1
+        ranks, ends, apart = self.ranks.get, self.ends.get, self.apart.get
+        while i < n:
+            i += 1
+            head = raw[:i]
+            t = ranks(head)
+            if t is None:
+                found, j = [], i - 1
+                while j:
+                    t = ends(raw[j:i])
+                    if t is None:
+                        break
+                    if t >= 0:
+                        found.append((t, j))
+                    j -= 1
+                while found:
+                    t, j = found.pop()
+                    p = known[raw[:j]]
+                    ok = apart(p << 20 | t)
+                    if ok or (ok is None and self.stay_apart(p, t)):
+                        break
+                else:
+                    raise ValueError("a byte is missing from the vocabulary")
+            known[head] = t
+        out = []
+        while n:
+            t = known[raw[:n]]
+            out.append(t)
+            n -= size[t]
+        return out[::-1]
 
     def encode_packed(self, text: str) -> bytes:
         """The token ids of a text as little-endian 32-bit integers."""
