@@ -58,6 +58,13 @@ def test_join_is_brute_force(spark, how):
     assert got == brute(rows)
 
 
+def test_large_components_are_verified_in_blocks(spark, monkeypatch):
+    rows = corpus(4)
+    monkeypatch.setattr(J, "_verified", lambda *x, f=J._verified: f(*x, room=3))
+    got = {(r.doc_a, r.doc_b): r.jaccard for r in J.join(spark.createDataFrame(rows, "doc_id long, text string"), dense=10**9).collect()}
+    assert got == brute(rows)
+
+
 def test_regions_recurse(spark):
     r = np.random.default_rng(1)
     base = [r.integers(0, 2**60, 60) for _ in range(6)]

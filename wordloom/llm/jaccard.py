@@ -151,7 +151,7 @@ class _Pivots:
         return p, 1 - common[p] / (self.sizes[p] + len(s) - common[p])
 
 
-def _pivots(docs: DataFrame, pts: DataFrame, n: int, dense: int, room: int) -> _Pivots | None:
+def _pivots(docs: DataFrame, pts: DataFrame, n: int, dense: int, rho: float, room: int) -> _Pivots | None:
     first = pts.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("least").alias("least"))
     heads = first.groupBy("least").agg(F.count("*").alias("c"), F.min(F.struct("set_id", "doc_id", "n")).alias("p")).filter(F.col("c") >= dense)
     rows = heads.select("c", "p.*").orderBy(F.desc("c"), "set_id").limit(4096).toPandas()
@@ -167,7 +167,14 @@ def _pivots(docs: DataFrame, pts: DataFrame, n: int, dense: int, room: int) -> _
 
     own = docs.join(F.broadcast(docs.sparkSession.createDataFrame([(d,) for d in set(wanted.values())], "doc_id long")), "doc_id")  # 4,096 at most
     got = own.mapInArrow(run, "set_id long, grams binary").toPandas().drop_duplicates("set_id").sort_values("set_id")
-    return _Pivots(got["set_id"].to_numpy(), [np.frombuffer(b, dtype=np.uint64) for b in got["grams"]])
+    got = got.set_index("set_id").loc[[k for k in rows["set_id"] if k in set(got["set_id"])]].reset_index()
+    parts = [np.frombuffer(b, dtype=np.uint64) for b in got["grams"]]
+    size, free, chosen = np.array([len(p) for p in parts]), np.ones(len(parts), dtype=bool), []
+    for q, common in common_counts(parts, np.arange(len(parts))):  # densest first; none within rho of an earlier one
+        if free[q]:
+            chosen.append(q)
+            free &= 1 - common / (size + size[q] - common) > rho
+    return _Pivots(got["set_id"].to_numpy()[chosen], [parts[q] for q in chosen])
 
 
 # ---------------------------------------------------------------- regions of document pivots
@@ -263,10 +270,16 @@ def _joined_regions(members: DataFrame, t: float) -> DataFrame:
 # ---------------------------------------------------------------- regions of gram pivots
 
 
-def _order(s: np.ndarray, heavy: Lookup | None, p: int) -> tuple[np.ndarray, int]:
+def gram_keys(g: np.ndarray, parts: int) -> np.ndarray:
+    """The part of each gram and 32 more bits of it."""
+    m = mix(g)
+    return (m >> _U(32)) % _U(parts) << _U(32) | m & _U(0xFFFFFFFF)
+
+
+def _order(s: np.ndarray, heavy: Lookup | None, p: int, parts: int) -> tuple[np.ndarray, int]:
     """The first p grams of a set, light ones first, and where the last stands in the order (32 bits)."""
     if heavy is not None:
-        at, _ = heavy.find(s)
+        at, _ = heavy.find(gram_keys(s, parts))
         if len(at):
             light = np.ones(len(s), dtype=bool)
             light[at] = False
@@ -285,13 +298,15 @@ def _windows(docs: DataFrame, n: int, t: float, rho: float, pivots, repeats, hea
 
     def pack(todo, counting):
         g = np.concatenate([x[0] for x in todo])
-        part = (mix(g) >> _U(20)) % _U(parts)
-        order = np.argsort(part.astype(np.uint16 if parts < 65536 else np.uint32), kind="stable")
+        key = gram_keys(g, parts)
+        part = key >> _U(32)
+        order = np.argsort(part.astype(np.uint16), kind="stable")
         cut = np.searchsorted(part[order], np.arange(parts + 1))
         g = g[order]
         if counting:
+            low = key[order].astype(np.uint32)
             heads = [b""] * parts
-            bodies = [g[cut[k] : cut[k + 1]].tobytes() for k in range(parts)]
+            bodies = [low[cut[k] : cut[k + 1]].tobytes() for k in range(parts)]
         else:
             doc = np.repeat(np.arange(len(todo)), [len(x[0]) for x in todo])[order]
             info = np.array([x[1:] for x in todo], dtype=np.int64)
@@ -318,7 +333,7 @@ def _windows(docs: DataFrame, n: int, t: float, rho: float, pivots, repeats, hea
                     _, d = pv.distances(s)
                     if len(d) and d.min() <= rho:
                         continue
-                window, last = _order(s, hv, len(s) - int(need(t, len(s))) + 1)
+                window, last = _order(s, hv, len(s) - int(need(t, len(s))) + 1, parts)
                 todo.append((window, 0 if heavy is None else set_id(s), len(s), last))
                 held += len(window)
                 if held >= _FLUSH:
@@ -331,15 +346,15 @@ def _windows(docs: DataFrame, n: int, t: float, rho: float, pivots, repeats, hea
 
 
 def _heavy(windows: DataFrame, parts: int, least: int, most: int) -> np.ndarray:
-    """Sorted grams that more than ``least`` points have in their windows; ``least`` is raised until they are at most ``most``."""
+    """Sorted keys of the grams that more than ``least`` points have in their windows; ``least`` is raised until they are at most ``most``."""
 
     def run(batches):
         by: dict[int, list[np.ndarray]] = {}
         for batch in batches:
             for p, b in zip(batch.column("part").to_pylist(), batch.column("body")):
-                by.setdefault(p, []).append(np.frombuffer(b.as_buffer(), dtype=np.uint64))
+                by.setdefault(p, []).append(np.frombuffer(b.as_buffer(), dtype=np.uint32))
         for p in sorted(by):
-            g = np.sort(np.concatenate(by.pop(p)))
+            g = np.sort(np.concatenate(by.pop(p))).astype(np.uint64) | _U(p << 32)
             begin = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
             c = np.diff(np.append(begin, len(g)))
             ok = c > least
@@ -426,9 +441,13 @@ def _candidates(windows: DataFrame, parts: int, t: float) -> DataFrame:
     return got.filter(F.col("c") + rest >= F.lit(t / (1 + t)) * (F.col("na") + F.col("nb")) - 1e-9).select("a", "b")
 
 
-def _verified(docs: DataFrame, pts: DataFrame, pairs: DataFrame, n: int, t: float) -> DataFrame:
-    """(a, b, jaccard): the pairs whose whole sets pass; each set goes once to each of its lower partners."""
-    spots = pairs.select("a", F.col("b").alias("set_id")).union(pairs.select("a", F.col("a").alias("set_id"))).distinct()
+def _verified(docs: DataFrame, pts: DataFrame, pairs: DataFrame, n: int, t: float, room: int = 2_000) -> DataFrame:
+    """(a, b, jaccard): the pairs whose whole sets pass.  Each set goes once to its component of pairs; a component of more than ``room`` sets is cut into blocks of lower partners."""
+    home = kept(components(pairs))
+    blocks = home.groupBy("root").agg(F.ceil(F.count("*") / room).alias("blocks"))
+    home = home.join(blocks, "root").select(F.col("v").alias("a"), "root", F.expr("pmod(xxhash64(v), blocks)").alias("block"))
+    spots = pairs.join(home, "a").select("root", "block", F.explode(F.array(F.struct(F.col("a").alias("set_id"), F.lit(True).alias("own")), F.struct(F.col("b").alias("set_id"), F.lit(False).alias("own")))).alias("s"))
+    spots = kept(spots.groupBy("root", "block", "s.set_id").agg(F.max("s.own").alias("own")))
     holders = pts.groupBy("set_id").agg(F.min("doc_id").alias("doc_id")).join(spots.select("set_id").distinct(), "set_id")
     holders = small_or_shuffled(kept(holders.select("doc_id").distinct()), REPEATS)
 
@@ -440,20 +459,16 @@ def _verified(docs: DataFrame, pts: DataFrame, pairs: DataFrame, n: int, t: floa
     held = docs.join(holders, "doc_id", "left_semi").mapInArrow(grams, "set_id long, grams binary")
 
     def run(table: pa.Table) -> pa.Table:
-        x = table.to_pandas().drop_duplicates("set_id")
-        a = int(x["a"].iloc[0])
-        by = {i: np.frombuffer(g, dtype=np.uint64) for i, g in zip(x["set_id"], x["grams"])}
-        mine, out = by.get(a, _NONE), []
-        for i, s in by.items():
-            if i != a:
-                common = len(np.intersect1d(mine, s, assume_unique=True))
-                j = common / (len(mine) + len(s) - common)
-                if j >= t - 1e-12:
-                    out.append((a, i, j))
-        cols = list(zip(*out)) or [()] * 3
-        return pa.table({"a": pa.array(cols[0], pa.int64()), "b": pa.array(cols[1], pa.int64()), "jaccard": pa.array(cols[2], pa.float64())})
-
-    return spots.join(held, "set_id").groupBy("a").applyInArrow(run, "a long, b long, jaccard double")
+        x = table.select(["set_id", "own", "grams"]).to_pandas().drop_duplicates("set_id")
+        ids, parts = x["set_id"].to_numpy(), [np.frombuffer(g, dtype=np.uint64) for g in x["grams"]]
+        size, out = np.array([len(p) for p in parts]), [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        for q, common in common_counts(parts, np.flatnonzero(x["own"].to_numpy())):
+            s = common / (size + size[q] - common)
+            j = np.flatnonzero((s >= t - 1e-12) & (ids > ids[q]))
+            out.append((np.full(len(j), ids[q]), ids[j], s[j]))
+        return pa.table(dict(zip(("a", "b", "jaccard"), (np.concatenate(c) for c in zip(*out)))))
+
+    return spots.join(held, "set_id").groupBy("root", "block").applyInArrow(run, "a long, b long, jaccard double")
 
 
 # ---------------------------------------------------------------- the join
@@ -469,7 +484,7 @@ def set_pairs(docs: DataFrame, n: int = GRAM, t: float = THRESHOLD, rho: float =
     width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = parts or max(1, min(65_000, max(width, int(total * (1 - t) / 1_500_000) + 1)))
     repeats = _repeats(pts)
-    pivots = _pivots(docs, pts, n, dense, PIVOT_GRAMS)
+    pivots = _pivots(docs, pts, n, dense, rho, PIVOT_GRAMS)
     found = []
     if pivots is not None:
         found.append(_joined_regions(_memberships(docs, pivots, n, t, rho), t))
