@@ -1,0 +1,59 @@
+import corpus_pipeline as P
+
+from wordloom.llm import bpe, decontamination, quality, secret_scan
+from wordloom.llm._text import word_list
+
+SF = "/root/testdata/sf0.001"
+
+
+def grams(text):
+    w = word_list(text)
+    return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
+
+
+def test_stages_against_brute_force(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    steps, out = [docs], docs
+    for _, stage in P.STAGES:
+        out = stage(spark, out, SF).cache()
+        steps.append(out)
+    assert all(s.columns == docs.columns for s in steps[:-1])
+    keep = {r.doc_id for r in quality.classify(docs, spark.read.parquet(f"{SF}/labels.parquet")).filter("keep").collect()}
+    rows = {r.doc_id: r for r in steps[1].collect()}
+    assert set(rows) == keep and 0 < len(keep) < docs.count()
+    sets = {i: grams(r.text) for i, r in rows.items()}
+    root = {i: i for i in sets}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    ids = sorted(sets)
+    for n, i in enumerate(ids):
+        for j in ids[n + 1 :]:
+            if sets[i] and len(sets[i] & sets[j]) >= 0.5 * len(sets[i] | sets[j]):
+                a, b = find(i), find(j)
+                root[max(a, b)] = min(a, b)
+    alone = {i for i in ids if find(i) == i}
+    assert {r.doc_id for r in steps[2].collect()} == alone and len(alone) < len(ids)
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    leaks = {r.doc_id for r in decontamination.leaks(steps[2], bench, exhaustive=True).collect()}
+    assert {r.doc_id for r in steps[3].collect()} == alone - leaks
+    for r in steps[4].collect():
+        assert r.text == secret_scan.redact(rows[r.doc_id].text) and r.n_chars == len(r.text)
+    voc = bpe.vocabulary(bpe.RANKS)
+    texts = {r.doc_id: r.text for r in steps[4].collect()}
+    for r in steps[5].collect():
+        assert r.token_ids == voc.encode(texts[r.doc_id]) and r.round_trip
+    assert sorted(x.doc_id for x in P.run(spark, SF).collect()) == sorted(texts)
+
+
+def test_nulls_and_empty_tables(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    odd = docs.limit(40).union(spark.createDataFrame([(None, None, None, None, None), (None, "a text without an id here", None, None, None), (7, "", "en", "s", 0)], docs.schema))
+    for name, df in (("odd", odd), ("none", docs.limit(0))):
+        df.write.parquet(str(tmp_path / name / "documents.parquet"))
+        for t in ("labels", "benchmark"):
+            spark.read.parquet(f"{SF}/{t}.parquet").write.parquet(str(tmp_path / name / f"{t}.parquet"))
+        assert P.run(spark, str(tmp_path / name)).count() >= 0
