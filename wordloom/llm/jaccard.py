@@ -54,7 +54,7 @@ HEAVY_GRAMS = 1_000_000
 #: ids of repeated rows that are broadcast at most; beyond it repeats are dropped in the regions
 REPEATS = 2_000_000
 LEAF = 512
-_FLUSH = 1_500_000
+_FLUSH = 1_000_000
 _NONE = np.zeros(0, dtype=np.uint64)
 _U = np.uint64
 
@@ -371,7 +371,7 @@ def _heavy(windows: DataFrame, parts: int, least: int, most: int) -> np.ndarray:
     return np.sort(counts.filter(F.col("c") > cut).select("g").toArrow().column("g").to_numpy().view(np.uint64))
 
 
-def group_pairs(g: np.ndarray, doc: np.ndarray, size: np.ndarray, t: float, room: int = 2_000_000):
+def group_pairs(g: np.ndarray, doc: np.ndarray, size: np.ndarray, t: float, room: int = 1_000_000):
     """Pairs (lower, higher) of docs that share a gram, once for each gram, in bounded lots; sizes that can't match are left out."""
     order = np.lexsort((doc, g))
     g, doc = g[order], doc[order]
@@ -405,7 +405,7 @@ def group_pairs(g: np.ndarray, doc: np.ndarray, size: np.ndarray, t: float, room
 
 
 def _candidates(windows: DataFrame, parts: int, t: float) -> DataFrame:
-    """(a, b, na, nb) of the pairs whose common window grams leave the threshold possible."""
+    """(a, b), a < b, of the pairs whose common window grams leave the threshold possible."""
 
     def run(batches):
         by: dict[int, list] = {}
@@ -428,17 +428,50 @@ def _candidates(windows: DataFrame, parts: int, t: float) -> DataFrame:
             del heads, grams, docs
             for a, b in group_pairs(g, doc, size, t):
                 key, c = np.unique(np.minimum(a, b) * len(ids) + np.maximum(a, b), return_counts=True)
-                a, b = key // len(ids), key % len(ids)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[a]), pa.array(ids[b]), pa.array(size[a].astype(np.int32)), pa.array(size[b].astype(np.int32)), pa.array(last[a]), pa.array(last[b]), pa.array(c.astype(np.int32))],
-                    ["a", "b", "na", "nb", "la", "lb", "c"],
-                )
-
-    got = windows.repartition(parts, "part").mapInArrow(run, "a long, b long, na int, nb int, la long, lb long, c int")
-    got = got.groupBy("a", "b").agg(*(F.first(x).alias(x) for x in ("na", "nb", "la", "lb")), F.sum("c").alias("c"))
-    left = lambda x: F.ceil(F.lit(t) * F.col(x) - 1e-9) - 1  # noqa: E731  grams after the window
-    rest = F.when(F.col("la") < F.col("lb"), left("na")).when(F.col("lb") < F.col("la"), left("nb")).otherwise(F.greatest(left("na"), left("nb")))
-    return got.filter(F.col("c") + rest >= F.lit(t / (1 + t)) * (F.col("na") + F.col("nb")) - 1e-9).select("a", "b")
+                yield pack(ids, size, last, key // len(ids), key % len(ids), c)
+
+    def pack(ids, size, last, a, b, c):
+        part = (mix(ids[a].view(np.uint64)) >> _U(32)) % _U(parts)
+        order = np.argsort(part.astype(np.uint16), kind="stable")
+        cut = np.searchsorted(part[order], np.arange(parts + 1))
+        own = np.flatnonzero(cut[1:] > cut[:-1])
+        heads, bodies = [], []
+        for k in own:
+            o = order[cut[k] : cut[k + 1]]
+            u, local = np.unique(np.concatenate([a[o], b[o]]), return_inverse=True)
+            heads.append(ids[u].tobytes() + size[u].astype(np.uint32).tobytes() + last[u].astype(np.uint32).tobytes())
+            bodies.append(local.astype(np.uint32).tobytes() + c[o].astype(np.uint32).tobytes())
+        return pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(heads, pa.binary()), pa.array(bodies, pa.binary())], ["part", "head", "body"])
+
+    def total(batches):
+        by: dict[int, list] = {}
+        for batch in batches:
+            for p, h, b in zip(batch.column("part").to_pylist(), batch.column("head").to_pylist(), batch.column("body").to_pylist()):
+                by.setdefault(p, []).append((h, b))
+        for p in sorted(by):
+            ids, size, last, a, b, c, at = [], [], [], [], [], [], 0
+            for h, x in by.pop(p):
+                k, m = len(h) // 16, len(x) // 12
+                ids.append(np.frombuffer(h[: 8 * k], np.int64))
+                size.append(np.frombuffer(h[8 * k : 12 * k], np.uint32))
+                last.append(np.frombuffer(h[12 * k :], np.uint32))
+                x = np.frombuffer(x, np.uint32)
+                a.append(x[:m].astype(np.int64) + at)
+                b.append(x[m : 2 * m].astype(np.int64) + at)
+                c.append(x[2 * m :])
+                at += k
+            ids, one, to = np.unique(np.concatenate(ids), return_index=True, return_inverse=True)
+            size, last = np.concatenate(size)[one].astype(np.int64), np.concatenate(last)[one]
+            pair, to = np.unique(to[np.concatenate(a)] * len(ids) + to[np.concatenate(b)], return_inverse=True)
+            common = np.bincount(to, weights=np.concatenate(c), minlength=len(pair))
+            a, b = pair // len(ids), pair % len(ids)
+            left = need(t, size) - 1  # grams after the window
+            rest = np.where(last[a] < last[b], left[a], np.where(last[b] < last[a], left[b], np.maximum(left[a], left[b])))
+            ok = common + rest >= t / (1 + t) * (size[a] + size[b]) - 1e-9
+            yield pa.RecordBatch.from_arrays([pa.array(ids[a[ok]]), pa.array(ids[b[ok]])], ["a", "b"])
+
+    got = windows.repartition(parts, "part").mapInArrow(run, "part int, head binary, body binary")
+    return got.repartition(parts, "part").mapInArrow(total, "a long, b long")
 
 
 def _verified(docs: DataFrame, pts: DataFrame, pairs: DataFrame, n: int, t: float, room: int = 2_000) -> DataFrame:
