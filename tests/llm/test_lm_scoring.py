@@ -1,3 +1,4 @@
+from collections import defaultdict
 from math import exp, log
 
 import pytest
@@ -28,8 +29,10 @@ def test_sum_over_all_segmentations(word):
     every = list(segmentations(L.MARK + word, TOY))
     want = log(sum(exp(sum(s for _, s in x)) for x in every))
     assert lattice.log_probability(word) == pytest.approx(want) == lattice.forward(L.MARK + word)[-1]
-    got: dict = {}
+    got, logs = defaultdict(float), defaultdict(float)
     lattice.expected(word, 2.0, got)
+    lattice.expected_by_logs(L.MARK + word, 2.0, logs)
+    assert dict(got) == pytest.approx(dict(logs))
     for p in TOY:
         if not p.startswith("<"):
             n = sum(exp(sum(s for _, s in x) - want) * sum(q == p for q, _ in x) for x in every)

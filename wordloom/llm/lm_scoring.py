@@ -19,8 +19,8 @@ whole; no other columns are looked at.
 from __future__ import annotations
 
 import os
-from collections import Counter
-from math import exp, log
+from collections import Counter, defaultdict
+from math import exp, log, log1p
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -32,8 +32,8 @@ MODEL = os.environ.get("WORDLOOM_PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.mo
 MARK = "▁"
 #: observations that the vocabulary's own scores count as
 PRIOR = 100_000.0
-_WORDS = 400_000
-_PREFIXES = 600_000
+_WORDS = 250_000
+_PREFIXES = 500_000
 _LONG = 48
 
 
@@ -64,6 +64,8 @@ class Lattice:
         self.bytes = [scores.get(f"<0x{b:02X}>", -30.0) for b in range(256)]
         self.known: dict[str, float] = {"": 0.0}
         self.words: dict[str, float] = {}
+        self.before: dict[str, float] = {}
+        self.probability = {p: exp(s) for p, s in scores.items()}
 
     def fallback(self, c: str) -> float:
         return sum(self.bytes[b] for b in c.encode("utf-8", "surrogatepass"))
@@ -94,10 +96,18 @@ class Lattice:
         have = self.words.get(word)
         if have is not None:
             return have
-        w = MARK + word
-        if len(w) > _LONG:
-            return self.forward(w)[-1]
-        known = self.known
+        have = self.before.get(word)
+        if have is None:
+            w = MARK + word
+            have = self.forward(w)[-1] if len(w) > _LONG else self.shared_forward(w)
+        if len(self.words) > _WORDS:  # words that were met since the last turn stay
+            self.before, self.words = self.words, {}
+        self.words[word] = have
+        return have
+
+    def shared_forward(self, w: str) -> float:
+        """The forward recursion from the longest prefix that any word before had."""
+        known, score, ends = self.known, self.scores.get, self.ends
         if len(known) > _PREFIXES:
             known.clear()
             known[""] = 0.0
@@ -106,15 +116,58 @@ class Lattice:
             i -= 1
         while i < n:
             i += 1
-            known[w[:i]] = log_sum([known[w[:j]] + s for j, s in self.arcs(w, i)])
-        if len(self.words) > _WORDS:
-            self.words.clear()
-        out = self.words[word] = known[w]
-        return out
+            j = i - 1
+            p = w[j]
+            s = score(p)
+            total = known[w[:j]] + (self.fallback(p) if s is None else s)
+            while j and p in ends:
+                j -= 1
+                p = w[j:i]
+                s = score(p)
+                if s is not None:
+                    x = known[w[:j]] + s
+                    total = x + log1p(exp(total - x)) if x > total else total + log1p(exp(x - total))
+            known[w[:i]] = total
+        return known[w]
 
     def expected(self, word: str, times: float, into: dict) -> None:
-        """Add the expected counts of the pieces of a word."""
+        """Add the expected counts of the pieces of a word; by products where they can't underflow, else by logs."""
         w = MARK + word
+        n = len(w)
+        if n > _LONG:
+            return self.expected_by_logs(w, times, into)
+        probability, ends = self.probability.get, self.ends
+        a, arcs = [1.0], []
+        for i in range(1, n + 1):
+            j = i - 1
+            p = w[j]
+            x = probability(p)
+            if x is None:
+                x = exp(self.fallback(p))
+            arcs.append((j, i, p, x))
+            total = a[j] * x
+            while j and p in ends:
+                j -= 1
+                p = w[j:i]
+                x = probability(p)
+                if x is not None:
+                    arcs.append((j, i, p, x))
+                    total += a[j] * x
+            a.append(total)
+        if a[n] < 1e-280:
+            return self.expected_by_logs(w, times, into)
+        b = [0.0] * n + [times / a[n]]
+        scores = self.scores
+        for j, i, p, x in reversed(arcs):
+            x *= b[i]
+            b[j] += x
+            if p in scores:
+                into[p] += a[j] * x
+            else:
+                for c in p.encode("utf-8", "surrogatepass"):
+                    into[f"<0x{c:02X}>"] += a[j] * x
+
+    def expected_by_logs(self, w: str, times: float, into: dict) -> None:
         a = self.forward(w)
         n = len(w)
         b = [-1e300] * n + [0.0]
@@ -130,11 +183,10 @@ class Lattice:
                 p = w[j:i]
                 share = times * exp(a[j] + x - total)
                 if p in self.scores:
-                    into[p] = into.get(p, 0.0) + share
+                    into[p] += share
                 else:
                     for c in p.encode("utf-8", "surrogatepass"):
-                        k = f"<0x{c:02X}>"
-                        into[k] = into.get(k, 0.0) + share
+                        into[f"<0x{c:02X}>"] += share
 
 
 def log_sum(x: list[float]) -> float:
@@ -167,7 +219,7 @@ def fitted(docs: DataFrame, path: str = MODEL, weight: float = PRIOR) -> dict[st
     cast = docs.sparkSession.sparkContext.broadcast(scores)
 
     def run(batches):
-        lattice, into = Lattice(cast.value), {}
+        lattice, into = Lattice(cast.value), defaultdict(float)
         for batch in batches:
             for w, n in zip(batch.column("word").to_pylist(), batch.column("n").to_pylist()):
                 lattice.expected(w, n, into)
