@@ -86,3 +86,30 @@ def test_tables(spark):
     left = {x.doc_id: x.t for x in df.select("doc_id", S.redacted(df["text"]).alias("t")).collect()}
     assert left[1] == "a [SECRET:github_token] b" and left[2] is None and left[5] == "clean token text"
     assert S.scan(df.limit(0)).count() == 0
+
+
+def test_secrets_of_any_length_are_whole():
+    jwt = "eyJ" + pick(3000) + ".eyJ" + pick(9000) + "." + pick(2000)
+    assert S.find(f"a {jwt} b") == [(2, 2 + len(jwt), "jwt")]
+    slack, stripe = "xoxb-" + pick(900), "sk_live_" + pick(300)
+    assert S.find(f"{slack} {stripe}.") == [(0, 905, "slack_token"), (906, 1214, "stripe_key")]
+    value = pick(5000)
+    assert S.find(f"secret_of_the_production_database =        '{value}'") == [(44, 5044, "assigned_secret")]
+    for head in ("", "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123456789ABCDEF\n\n"):
+        body = "\n".join(pick(64) for _ in range(200))
+        key = f"-----BEGIN RSA PRIVATE KEY-----\n{head}{body}\n-----END RSA PRIVATE KEY-----"
+        assert S.redact(f"a {key} b") == "a [SECRET:private_key] b"
+        cut = key[: key.index("\n-----END")]
+        assert S.redact(f"{cut}\nThe end. {key}") == "[SECRET:private_key]\nThe end. [SECRET:private_key]"
+        escaped = key.replace("\n", "\\n")
+        assert S.redact(f'"{escaped}"') == '"[SECRET:private_key]"'
+
+
+def test_many_hits_in_one_run_are_read_once():
+    import time
+
+    start = time.monotonic()
+    for unit in ("xoxb-", "token", "eyJ", "-----BEGIN PRIVATE KEY-----", "iban ", "sk_live_", "token='", "secret:  "):
+        S.find(unit * 60_000)
+    assert S.find("xoxb-" * 60_000 + pick(300_000))[0][2] == "slack_token"
+    assert time.monotonic() - start < 30

@@ -1,15 +1,19 @@
 """Secret scans: Aho-Corasick keyword prefilter, anchored patterns near hits, embedded checksums.
 
 One automaton pass over each text finds the rules' keywords.  A rule's regular
-expression is tried only in a window around a hit of its keyword (anchored: the
-match must contain the keyword hit), so its cost follows the hits and not the
-text.  A match counts only if the rule's checksum holds:
+expression is tried only at a hit of its keyword (anchored: the match must contain the
+keyword hit) and runs to the secret's own end, however far that is; no text is read again for
+each of many hits in it, so the cost follows the hits and what they match.  A match counts
+only if the rule's checksum holds:
 
 * ``github``/``npm`` tokens end in six base-62 digits of the CRC-32 of their entropy,
 * card numbers satisfy Luhn, IBANs satisfy mod 97,
 * generic assignments (``token = "..."``) need a Shannon entropy of 3 bits a character
   and, for hexadecimal digests, at least 8 different digits.
 
+A private key runs to its END line, whatever header lines it has; one that is cut off before it
+has the base64 lines that follow BEGIN.
+
 Defined results: a null or empty text has no secrets; texts are scanned whole; of
 overlapping matches the longest earliest one stays (ties: the rule listed first);
 repeated rows each give their own rows; an empty table gives an empty result; other
@@ -58,38 +62,97 @@ def iban(token: str) -> bool:
     return int("".join(str(int(c, 36)) for c in t[4:] + t[:4])) % 97 == 1
 
 
-def entropy(token: str) -> float:
-    n = len(token)
-    return -sum(c / n * math.log2(c / n) for c in Counter(token).values())
+def entropy(counts: Counter) -> float:
+    n = sum(counts.values())
+    return -sum(c / n * math.log2(c / n) for c in counts.values() if c)
 
 
-def random_looking(token: str) -> bool:
-    return entropy(token) >= 3.0 and len(set(token)) >= 8
+def random_looking(token: str | Counter) -> bool:
+    counts = Counter(token)
+    return sum(c > 0 for c in counts.values()) >= 8 and entropy(counts) >= 3.0
 
 
 def always(_: str) -> bool:
     return True
 
 
-#: name, keywords (lower case), pattern whose group ``s`` is the secret, characters it may reach before and after the keyword, validator
+class Span:
+    """The group ``s`` of a match that a pattern alone does not give."""
+
+    def __init__(self, text: str, start: int, end: int):
+        self.text, self.at, self.to = text, start, end
+
+    def start(self, _: str) -> int:
+        return self.at
+
+    def end(self, _: str) -> int:
+        return self.to
+
+    def __getitem__(self, _: str) -> str:
+        return self.text[self.at : self.to]
+
+
+class PrivateKey:
+    """From the BEGIN line to the next END line, or over the base64 lines if another BEGIN or the text's end comes first."""
+
+    body = re.compile(r"(?:(?:\s|\\[nr])*+(?:(?:Proc-Type|DEK-Info): ?[^\n]*+|[A-Za-z0-9+/=]{32,}+))*+(?:(?:\s|\\[nr])*+[A-Za-z0-9+/]*={1,2})?")
+    mark = re.compile(r"-----(BEGIN|END) [A-Z0-9 ]*PRIVATE KEY-----")
+
+    def __init__(self, pattern: str):
+        self.begin = re.compile(pattern)
+
+    def match(self, text: str, at: int) -> Span | None:
+        m = self.begin.match(text, at)
+        if not m:
+            return None
+        other = self.mark.search(text, m.end())
+        if other and other[1] == "END":
+            return Span(text, at, other.end())
+        return Span(text, at, self.body.match(text, m.end(), other.start() if other else len(text)).end())
+
+
+class SlackToken:
+    """A head and the run of characters after it; a run is counted once for all the heads in it."""
+
+    run = re.compile(r"[A-Za-z0-9-]*+")
+
+    def __init__(self, pattern: str):
+        self.head = re.compile(pattern)
+        self.text, self.at, self.to, self.counts = "", 0, 0, Counter()
+
+    def match(self, text: str, at: int) -> Span | None:
+        if not self.head.match(text, at):
+            return None
+        if text is self.text and self.at <= at < self.to:
+            self.counts.subtract(text[self.at : at])
+        else:
+            self.text, self.to = text, self.run.match(text, at).end()
+            self.counts = Counter(text[at : self.to])
+        self.at = at
+        return Span(text, at, self.to) if random_looking(self.counts) else None
+
+
+_NAMES = "(?i:token|secret|passw(?:or)?d|api[_-]?key|access_key|auth_key)"
+
+#: name, keywords (lower case), pattern whose group ``s`` is the secret, what matches it from the keyword, shorter ends to try, validator
 RULES = [
-    ("github_token", ["ghp_", "gho_", "ghu_", "ghs_", "ghr_"], r"(?<![A-Za-z0-9])(?P<s>gh[pousr]_[A-Za-z0-9]{36})(?![A-Za-z0-9])", 0, 40, crc_suffix),
-    ("npm_token", ["npm_"], r"(?<![A-Za-z0-9])(?P<s>npm_[A-Za-z0-9]{36})(?![A-Za-z0-9])", 0, 40, crc_suffix),
-    ("aws_access_key", ["akia", "asia"], r"(?<![A-Za-z0-9])(?P<s>A[KS]IA[A-Z2-7]{16})(?![A-Za-z0-9])", 0, 20, random_looking),
-    ("google_api_key", ["aiza"], r"(?<![A-Za-z0-9_-])(?P<s>AIza[A-Za-z0-9_-]{35})(?![A-Za-z0-9_-])", 0, 39, random_looking),
-    ("slack_token", ["xoxb-", "xoxp-", "xoxa-", "xoxr-", "xoxs-"], r"(?P<s>xox[abprs]-[A-Za-z0-9-]{10,250})", 0, 256, random_looking),
-    ("gitlab_token", ["glpat-"], r"(?P<s>glpat-[A-Za-z0-9_-]{20})(?![A-Za-z0-9_-])", 0, 26, random_looking),
-    ("stripe_key", ["sk_live_", "rk_live_", "sk_test_"], r"(?P<s>[sr]k_(?:live|test)_[A-Za-z0-9]{16,99})", 0, 108, random_looking),
-    ("private_key", ["-----begin"], r"(?P<s>-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----(?:[A-Za-z0-9+/=\s]{0,8192}-----END [A-Z ]{0,40}PRIVATE KEY-----)?)", 0, 8400, always),
-    ("jwt", ["eyj"], r"(?<![A-Za-z0-9_-])(?P<s>eyJ[A-Za-z0-9_-]{8,2048}\.eyJ[A-Za-z0-9_-]{8,4096}\.[A-Za-z0-9_-]{8,1024})", 0, 7200, always),
-    ("iban", ["iban"], r"(?i:iban)[\s:=]{1,3}(?P<s>[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})(?![A-Za-z0-9])", 0, 80, iban),
-    ("card", ["card", "visa", "mastercard"], r"(?i:card|visa|mastercard)[^0-9\n]{0,24}(?P<s>[0-9](?:[ -]?[0-9]){12,18})(?![0-9])", 0, 80, luhn),
+    ("github_token", ["ghp_", "gho_", "ghu_", "ghs_", "ghr_"], r"(?<![A-Za-z0-9])(?P<s>gh[pousr]_[A-Za-z0-9]{36})(?![A-Za-z0-9])", re.compile, None, crc_suffix),
+    ("npm_token", ["npm_"], r"(?<![A-Za-z0-9])(?P<s>npm_[A-Za-z0-9]{36})(?![A-Za-z0-9])", re.compile, None, crc_suffix),
+    ("aws_access_key", ["akia", "asia"], r"(?<![A-Za-z0-9])(?P<s>A[KS]IA[A-Z2-7]{16})(?![A-Za-z0-9])", re.compile, None, random_looking),
+    ("google_api_key", ["aiza"], r"(?<![A-Za-z0-9_-])(?P<s>AIza[A-Za-z0-9_-]{35})(?![A-Za-z0-9_-])", re.compile, None, random_looking),
+    ("slack_token", ["xoxb-", "xoxp-", "xoxa-", "xoxr-", "xoxs-"], r"(?P<s>xox[abprs]-[A-Za-z0-9-]{10})", SlackToken, None, always),
+    ("gitlab_token", ["glpat-"], r"(?P<s>glpat-[A-Za-z0-9_-]{20})(?![A-Za-z0-9_-])", re.compile, None, random_looking),
+    ("stripe_key", ["sk_live_", "rk_live_", "sk_test_"], r"(?P<s>[sr]k_(?:live|test)_[A-Za-z0-9]{16,}+)", re.compile, None, random_looking),
+    ("private_key", ["-----begin"], r"(?P<s>-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----)", PrivateKey, None, always),
+    ("jwt", ["eyj"], r"(?<![A-Za-z0-9_-])(?P<s>eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+)", re.compile, None, always),
+    ("iban", ["iban"], r"(?i:iban)[\s:=]++(?P<s>[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})(?![A-Za-z0-9])", re.compile, None, iban),
+    ("card", ["card", "visa", "mastercard"], r"(?i:card|visa|mastercard)[^0-9\n]{0,24}(?P<s>[0-9](?:[ -]?[0-9]){12,18})(?![0-9])", re.compile, None, luhn),
     (
         "assigned_secret",
         ["token", "secret", "passwd", "password", "api_key", "apikey", "api-key", "access_key", "auth_key"],
-        r"(?i:token|secret|passw(?:or)?d|api[_-]?key|access_key|auth_key)[A-Za-z_]{0,16}[\"']?\s{0,4}(?::=|=>|=|:)\s{0,4}[\"'`](?P<s>[A-Za-z0-9_\-+/=.~]{16,512})[\"'`]",
-        0,
-        600,
+        _NAMES + rf"(?:(?!{_NAMES})[A-Za-z_])*+[\"']?\s*+(?::=|=>|=|:)\s*+[\"'`](?P<s>[A-Za-z0-9_\-+/=.~]{{16,}}+)[\"'`]",
+        re.compile,
+        None,
         random_looking,
     ),
 ]
@@ -105,7 +168,7 @@ def _automaton():
         for w, ks in of.items():
             auto.add_word(w, (len(w), tuple(ks)))
         auto.make_automaton()
-        _state["auto"], _state["re"] = auto, [re.compile(r[2]) for r in RULES]
+        _state["auto"], _state["re"] = auto, [r[3](r[2]) for r in RULES]
     return _state["auto"], _state["re"]
 
 
@@ -130,9 +193,8 @@ def find(text: str | None) -> list[tuple[int, int, str]]:
             if (at, k) in tried:
                 continue
             tried.add((at, k))
-            _, _, _, before, after, valid = RULES[k]
-            m = patterns[k].match(text, at, min(len(text), at + after + 1))
-            if m and valid(m["s"]):
+            m = patterns[k].match(text, at)
+            if m and RULES[k][5](m["s"]):
                 found.append((m.start("s"), m.end("s"), k))
     found.sort(key=lambda f: (f[0], -f[1], f[2]))
     out, end = [], -1
