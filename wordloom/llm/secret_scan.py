@@ -7,7 +7,8 @@ each of many hits in it, so the cost follows the hits and what they match.  A ma
 only if the rule's checksum holds:
 
 * ``github``/``npm`` tokens end in six base-62 digits of the CRC-32 of their entropy,
-* card numbers satisfy Luhn, IBANs satisfy mod 97,
+* card numbers satisfy Luhn, IBANs satisfy mod 97; where digits or words that follow could belong to
+  the number, each end that leaves a whole number is tried, the issuer's or country's length first,
 * generic assignments (``token = "..."``) need a Shannon entropy of 3 bits a character
   and, for hexadecimal digests, at least 8 different digits.
 
@@ -132,9 +133,80 @@ class SlackToken:
         return Span(text, at, self.to) if random_looking(self.counts) else None
 
 
+class Ends:
+    """A pattern whose match may run on into what follows the secret: the first end whose checksum holds is taken."""
+
+    def __init__(self, pattern: str, ends, valid):
+        self.pattern, self.ends, self.valid = re.compile(pattern), ends, valid
+
+    def match(self, text: str, at: int) -> Span | None:
+        m = self.pattern.match(text, at)
+        if m:
+            for n in self.ends(m["s"]):
+                if self.valid(m["s"][:n]):
+                    return Span(text, m.start("s"), m.start("s") + n)
+        return None
+
+
+def whole_ends(token: str, least: int) -> dict[int, int]:
+    """characters other than separators -> end, for each end of that many or more that is not inside a group."""
+    out, n = {}, 0
+    for i, c in enumerate(token):
+        n += c.isalnum()
+        if c.isalnum() and n >= least and not token[i + 1 : i + 2].isalnum():
+            out[n] = i + 1
+    return out
+
+
+#: first digits (from, to) of an issuer's numbers, and their lengths
+ISSUED = [
+    (("4", "4"), (16, 19, 13)),
+    (("51", "55"), (16,)),
+    (("2221", "2720"), (16,)),
+    (("34", "34"), (15,)),
+    (("37", "37"), (15,)),
+    (("300", "305"), (14, 16, 17, 18, 19)),
+    (("309", "309"), (14, 16, 17, 18, 19)),
+    (("36", "36"), (14, 15, 16, 17, 18, 19)),
+    (("38", "39"), (14, 16, 17, 18, 19)),
+    (("3528", "3589"), (16, 17, 18, 19)),
+    (("2200", "2204"), (16, 17, 18, 19)),
+    (("50", "50"), (16, 13, 14, 15, 17, 18, 19)),
+    (("56", "58"), (16, 13, 14, 15, 17, 18, 19)),
+    (("60", "69"), (16, 19, 18, 17, 15, 14, 13)),
+    (("81", "82"), (16, 17, 18, 19)),
+]
+
+
+def issued(token: str) -> list[int]:
+    digits = "".join(c for c in token if c.isdigit())
+    return [n for (low, high), lengths in ISSUED if low <= digits[: len(low)] <= high for n in lengths]
+
+
+def card_ends(token: str) -> list[int]:
+    ends = whole_ends(token, 13)
+    return [ends[n] for n in dict.fromkeys([*issued(token), *sorted(ends, reverse=True)]) if n in ends]
+
+
+_IBAN = (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HN28 HR21 "
+    "HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 "
+    "RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30"
+)
+#: length of an IBAN by country
+IBAN_LENGTH = {x[:2]: int(x[2:]) for x in _IBAN.split()}
+
+
+def iban_ends(token: str) -> list[int]:
+    ends = whole_ends(token, 15)
+    if own := IBAN_LENGTH.get(token[:2]):
+        return list(dict.fromkeys([*[ends[own]] * (own in ends), len(token)]))
+    return sorted(ends.values(), reverse=True)
+
+
 _NAMES = "(?i:token|secret|passw(?:or)?d|api[_-]?key|access_key|auth_key)"
 
-#: name, keywords (lower case), pattern whose group ``s`` is the secret, what matches it from the keyword, shorter ends to try, validator
+#: name, keywords (lower case), pattern whose group ``s`` is the secret, what matches it from the keyword, ends of a match to try, validator
 RULES = [
     ("github_token", ["ghp_", "gho_", "ghu_", "ghs_", "ghr_"], r"(?<![A-Za-z0-9])(?P<s>gh[pousr]_[A-Za-z0-9]{36})(?![A-Za-z0-9])", re.compile, None, crc_suffix),
     ("npm_token", ["npm_"], r"(?<![A-Za-z0-9])(?P<s>npm_[A-Za-z0-9]{36})(?![A-Za-z0-9])", re.compile, None, crc_suffix),
@@ -145,8 +217,8 @@ RULES = [
     ("stripe_key", ["sk_live_", "rk_live_", "sk_test_"], r"(?P<s>[sr]k_(?:live|test)_[A-Za-z0-9]{16,}+)", re.compile, None, random_looking),
     ("private_key", ["-----begin"], r"(?P<s>-----BEGIN [A-Z0-9 ]*PRIVATE KEY-----)", PrivateKey, None, always),
     ("jwt", ["eyj"], r"(?<![A-Za-z0-9_-])(?P<s>eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+)", re.compile, None, always),
-    ("iban", ["iban"], r"(?i:iban)[\s:=]++(?P<s>[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})(?![A-Za-z0-9])", re.compile, None, iban),
-    ("card", ["card", "visa", "mastercard"], r"(?i:card|visa|mastercard)[^0-9\n]{0,24}(?P<s>[0-9](?:[ -]?[0-9]){12,18})(?![0-9])", re.compile, None, luhn),
+    ("iban", ["iban"], r"(?i:iban)[\s:=]++(?P<s>[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})(?![A-Za-z0-9])", Ends, iban_ends, iban),
+    ("card", ["card", "visa", "mastercard"], r"(?i:card|visa|mastercard)[^0-9\n]{0,24}(?P<s>[0-9](?:[ -]?[0-9]){12,18})(?![0-9])", Ends, card_ends, luhn),
     (
         "assigned_secret",
         ["token", "secret", "passwd", "password", "api_key", "apikey", "api-key", "access_key", "auth_key"],
@@ -168,7 +240,7 @@ def _automaton():
         for w, ks in of.items():
             auto.add_word(w, (len(w), tuple(ks)))
         auto.make_automaton()
-        _state["auto"], _state["re"] = auto, [r[3](r[2]) for r in RULES]
+        _state["auto"], _state["re"] = auto, [r[3](r[2], r[4], r[5]) if r[4] else r[3](r[2]) for r in RULES]
     return _state["auto"], _state["re"]
 
 
