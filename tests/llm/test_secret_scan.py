@@ -124,3 +124,11 @@ def test_numbers_followed_by_others():
         assert found(f"card {number[:-1]}{(int(number[-1]) + 1) % 10} x") == []
     for number, after in (("DE89370400440532013000", " 2024 paid"), ("GB29 NWBK 6016 1331 9268 19", " BIC NWBKGB2L"), ("NO93 8601 1117 947", " 5 EUR")):
         assert found(f"IBAN: {number}{after}") == [(number, "iban")]
+
+
+def test_cards_without_a_word_before_them():
+    for c in ("4845168114407329", "4111 1111 1111 1111", "5555555555554444", "2223003122003222", "378282246310005", "30569309025904", "6011111111111117", "3530111333300000"):
+        assert S.find(f"que {c} eai") == [(4, 4 + len(c), "card")]
+        assert S.find(f"7536784127813051 {c}.") == [(17, 17 + len(c), "card")]
+        assert S.find(f"no {c[:-1]}{(int(c[-1]) + 1) % 10} x") == [] and S.find(f"id a{c} {c}b") == []
+    assert S.find("7536784127813050") == [] and S.find("4 4 4 4 " * 50_000 + "end") == []

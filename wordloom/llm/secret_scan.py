@@ -9,6 +9,8 @@ only if the rule's checksum holds:
 * ``github``/``npm`` tokens end in six base-62 digits of the CRC-32 of their entropy,
 * card numbers satisfy Luhn, IBANs satisfy mod 97; where digits or words that follow could belong to
   the number, each end that leaves a whole number is tried, the issuer's or country's length first,
+* a number without such a word (card, visa, ...) before it counts as a card's only if it has an issuer's
+  first digits and one of their lengths as well,
 * generic assignments (``token = "..."``) need a Shannon entropy of 3 bits a character
   and, for hexadecimal digests, at least 8 different digits.
 
@@ -188,6 +190,14 @@ def card_ends(token: str) -> list[int]:
     return [ends[n] for n in dict.fromkeys([*issued(token), *sorted(ends, reverse=True)]) if n in ends]
 
 
+def issued_ends(token: str) -> list[int]:
+    ends = whole_ends(token, 13)
+    return [ends[n] for n in dict.fromkeys(issued(token)) if n in ends]
+
+
+#: first two digits, or the one, of ISSUED
+ISSUERS = ["4", *(str(n) for n in (*range(22, 28), 30, *range(34, 40), *range(50, 59), *range(60, 70), 81, 82))]
+
 _IBAN = (
     "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HN28 HR21 "
     "HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 "
@@ -219,6 +229,7 @@ RULES = [
     ("jwt", ["eyj"], r"(?<![A-Za-z0-9_-])(?P<s>eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+)", re.compile, None, always),
     ("iban", ["iban"], r"(?i:iban)[\s:=]++(?P<s>[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})(?![A-Za-z0-9])", Ends, iban_ends, iban),
     ("card", ["card", "visa", "mastercard"], r"(?i:card|visa|mastercard)[^0-9\n]{0,24}(?P<s>[0-9](?:[ -]?[0-9]){12,18})(?![0-9])", Ends, card_ends, luhn),
+    ("card", ISSUERS, r"(?<![A-Za-z0-9])(?P<s>[0-9](?:[ -]?[0-9]){12,18})(?![A-Za-z0-9])", Ends, issued_ends, luhn),
     (
         "assigned_secret",
         ["token", "secret", "passwd", "password", "api_key", "apikey", "api-key", "access_key", "auth_key"],
