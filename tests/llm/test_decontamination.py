@@ -88,3 +88,12 @@ def test_recall_of_the_sampling():
         s = walks.signatures(np.stack([w, D.edit(w, D.allowed(len(w)), rng)]))
         hit += (s[0] == s[1]).any()
     assert hit >= 0.93 * len(items)
+
+
+def test_first_text_of_a_chunk_that_begins_inside_an_item():
+    words = [f"item{i}" for i in range(40)]
+    _, h = next((first, h) for *_, first, h in D.hashed(D.pa.array([" ".join(words)])))
+    for missing in (1, 2, 5):
+        for ex in (True, False):
+            got = list(D.Index([7], [h], ex).matches(D.pa.array([" ".join(words[missing:] + ["after"] * 9)])))
+            assert [(r, i, e) for r, i, e, *_ in got] == [(0, 0, missing)]

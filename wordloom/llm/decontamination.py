@@ -206,7 +206,7 @@ class Index:
             done: dict = {}
             for d, i, s in zip(doc[ok].tolist(), item[ok].tolist(), diag[ok].tolist()):
                 k, length = int(self.k[i]), int(self.length[i])
-                if s <= done.get((d, i), -1):  # the run around an earlier window holds this one's
+                if s <= done.get((d, i), -(2**62)):  # the run around an earlier window holds this one's
                     continue
                 low, high = max(int(first[d]), s - 2 * k), min(int(first[d + 1]), s + length + 4 * k)
                 done[d, i] = s + 2 * k
