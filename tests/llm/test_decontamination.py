@@ -97,3 +97,21 @@ def test_first_text_of_a_chunk_that_begins_inside_an_item():
         for ex in (True, False):
             got = list(D.Index([7], [h], ex).matches(D.pa.array([" ".join(words[missing:] + ["after"] * 9)])))
             assert [(r, i, e) for r, i, e, *_ in got] == [(0, 0, missing)]
+
+
+def test_long_items_with_edits_of_one_kind():
+    rng = np.random.default_rng(4)
+    for length in (100, 250, 800):
+        items = [rng.integers(1, 2**63, length, dtype=np.uint64) for _ in range(10)]
+        texts = [[*rng.integers(1, 2**63, 30, dtype=np.uint64), *D.edited(w, D.allowed(length), rng, (kind,)), *rng.integers(1, 2**63, 30, dtype=np.uint64)] for w in items for kind in (0, 1, 2)]
+        index, h, first = D.Index(list(range(10)), items), np.array(sum(texts, []), dtype=np.uint64), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+        doc, item, diag = index.windows(h, first)
+        ok = index.collide(h, first, doc, item, diag)
+        assert {(d, i) for d, i in zip(doc[ok].tolist(), item[ok].tolist())} >= {(d, d // 3) for d in range(30)}
+
+
+def test_a_missed_target_is_not_accepted(monkeypatch):
+    rng = np.random.default_rng(6)
+    items = [rng.integers(1, 2**63, 50, dtype=np.uint64) for _ in range(5)]
+    monkeypatch.setattr(D, "WALKS_MOST", 1)
+    assert D.walks_needed(items) is None and not D.Index([1], items[:1]).walks

@@ -11,8 +11,10 @@ word edits (insert, delete, substitute) of the item.
    distance follows the edit distance: at step j the walk writes the word it is on, and goes on
    if a random function of (j, word) says so.
 3. *Bit sampling.*  Each of R walks is sampled at a few steps; a window goes on with an
-   item if any of its R signatures is equal to the item's.  R is set so that items with the most
-   edits allowed collide with probability TARGET (measured on the items, fixed seed).
+   item if any of its R signatures is equal to the item's.  R is set for each item length so that
+   items with the most edits allowed, of one kind or mixed, collide at one of their windows with
+   probability TARGET (measured on the items, fixed seed).  Where WALKS_MOST walks do not reach it, and over
+   LONGEST words, all windows go on.
 4. *Verification.*  Bit-parallel edit distance of the item to the best run around the window.
 
 Defined results: null, empty and wordless texts leak nothing; items without words and
@@ -37,6 +39,10 @@ EDIT = 0.2
 TARGET = 0.99
 SAMPLES = 2
 WALKS_MOST = 64
+#: words of the longest items that are sampled; longer ones would take more walks than verifying their windows costs
+LONGEST = 64
+#: trials of each kind of edit and item length
+TRIALS = 100
 #: items that are held in a worker at once; more are searched in so many passes
 ITEMS_AT_ONCE = 100_000
 _U = np.uint64
@@ -56,6 +62,12 @@ class Walks:
         self.at = rng.random((walks, samples))
         self.key = rng.integers(1, 2**63, walks, dtype=np.uint64)
 
+    def first(self, n: int) -> Walks:
+        """Only the first n of these walks."""
+        out = Walks(0)
+        out.walks, out.at, out.key = n, self.at[:n], self.key[:n]
+        return out
+
     def signatures(self, windows: np.ndarray) -> np.ndarray:
         """rows x walks: hashes of the sampled words of windows of one length."""
         rows, length = windows.shape
@@ -73,11 +85,11 @@ class Walks:
         return out
 
 
-def edit(words: np.ndarray, k: int, rng) -> np.ndarray:
-    """``words`` after k random edits, cut or filled to its length."""
+def edited(words: np.ndarray, k: int, rng, kinds=(0, 1, 2)) -> list:
+    """``words`` after k random edits of the kinds: 0 substitutes, 1 inserts, 2 deletes."""
     w = list(words)
     for _ in range(k):
-        kind, at = rng.integers(3), int(rng.integers(len(w)))
+        kind, at = kinds[rng.integers(len(kinds))], int(rng.integers(len(w)))
         new = _U(rng.integers(1, 2**63))
         if kind == 0:
             w[at] = new
@@ -85,21 +97,55 @@ def edit(words: np.ndarray, k: int, rng) -> np.ndarray:
             w.insert(at, new)
         elif len(w) > 1:
             del w[at]
+    return w
+
+
+def edit(words: np.ndarray, k: int, rng) -> np.ndarray:
+    """``words`` after k random edits, cut or filled to its length."""
+    w = edited(words, k, rng)
     w += [_U(rng.integers(1, 2**63)) for _ in range(len(words) - len(w))]
     return np.array(w[: len(words)], dtype=np.uint64)
 
 
-def calibrated(items: list[np.ndarray], target: float = TARGET, trials: int = 400) -> int:
-    """Walks after which ``target`` of edited items have collided with the item."""
-    all_walks = Walks()
-    rng = np.random.default_rng(11)
-    first = []
-    for i in range(trials):
-        w = items[i % len(items)]
-        same = all_walks.signatures(np.stack([w, edit(w, allowed(len(w)), rng)]))
-        hit = np.flatnonzero(same[0] == same[1])
-        first.append(hit[0] + 1 if len(hit) else WALKS_MOST)
-    return int(np.sort(first)[min(trials - 1, int(np.ceil(target * trials)))])
+def walks_needed(items: list[np.ndarray], target: float = TARGET, trials: int = TRIALS) -> int | None:
+    """Twice the walks after which ``target`` of the edited items of one length have collided with their item, for each kind of edit; None if WALKS_MOST are too few.
+
+    Twice, as the share is known from few trials only.
+    """
+    index, length, k = Index(list(range(len(items))), items, exhaustive=True), len(items[0]), allowed(len(items[0]))
+    walks, rng, most = Walks(), np.random.default_rng([11, length]), 1
+    signed = walks.signatures(np.stack(items))
+    for kinds in ((2,), (1,), (0,), (0, 1, 2)):
+        texts, own = [], np.arange(trials) % len(items)
+        for i in own:
+            around = rng.integers(1, 2**63, (2, length), dtype=np.uint64)
+            texts.append(np.concatenate([around[0], np.array(edited(items[i], k, rng, kinds), dtype=np.uint64), around[1]]))
+        h, first = np.concatenate(texts), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
+        doc, item, diag = index.windows(h, first)
+        mine = item == own[doc]
+        doc, item, diag = doc[mine], item[mine], diag[mine]
+        same = walks.signatures(cut_windows(h, first, doc, diag, length)) == signed[item]
+        after = np.full(trials, WALKS_MOST + 1)
+        np.minimum.at(after, doc, np.where(same.any(axis=1), same.argmax(axis=1) + 1, WALKS_MOST + 1))
+        most = max(most, int(np.sort(after)[min(trials - 1, int(np.ceil(target * trials)))]))
+        if 2 * most > WALKS_MOST:
+            return None
+    return 2 * most
+
+
+def calibrated(items: list[np.ndarray], target: float = TARGET, trials: int = TRIALS) -> int:
+    """The most walks that any length of the items needs; WALKS_MOST if one of them needs more."""
+    lengths: dict = {}
+    for w in items:
+        lengths.setdefault(len(w), []).append(w)
+    return max(walks_needed(x[:trials], target, trials) or WALKS_MOST for x in lengths.values())
+
+
+def cut_windows(h: np.ndarray, first: np.ndarray, doc: np.ndarray, diag: np.ndarray, length: int) -> np.ndarray:
+    """The words of windows of one length; those outside the window's text are padding."""
+    at = diag[:, None] + np.arange(length)
+    inside = (at >= first[doc][:, None]) & (at < first[doc + 1][:, None])
+    return np.where(inside, h[np.clip(at, 0, len(h) - 1)], _PAD)
 
 
 def best_run(item: dict, length: int, text: list, k: int) -> tuple[int, int] | None:
@@ -128,7 +174,8 @@ class Index:
         self.k = np.array([allowed(len(w)) for w in items], dtype=np.int64)
         self.q = -(-(self.length - self.k) // (self.k + 1))
         self.least = np.maximum(1, self.length - self.q + 1 - self.k * self.q)
-        self.walks = None if exhaustive or not items else Walks(calibrated(items))
+        #: walks by item length; windows of items of other lengths are not sampled
+        self.walks = {}
         self.signed = {}
         self.bits = []
         for w in items:
@@ -136,10 +183,15 @@ class Index:
             for i, x in enumerate(w.tolist()):
                 b[x] = b.get(x, 0) | 1 << i
             self.bits.append(b)
-        if self.walks:
-            for length in np.unique(self.length).tolist():
+        if not exhaustive:
+            every = Walks()
+            for length in np.unique(self.length[self.length <= LONGEST]).tolist():
                 own = np.flatnonzero(self.length == length)
-                for i, s in zip(own, self.walks.signatures(np.stack([items[i] for i in own]))):
+                need = walks_needed([items[i] for i in own[:TRIALS]])
+                if need is None:
+                    continue
+                self.walks[length] = every.first(need)
+                for i, s in zip(own, self.walks[length].signatures(np.stack([items[i] for i in own]))):
                     self.signed[int(i)] = s
         self.grams = {}
         for q in np.unique(self.q).tolist():
@@ -181,17 +233,13 @@ class Index:
     def collide(self, h: np.ndarray, first: np.ndarray, doc, item, diag) -> np.ndarray:
         """Which windows share a sampled signature with their item."""
         ok = np.ones(len(item), dtype=bool)
-        if self.walks is None or not len(item):
-            return ok
         for length in np.unique(self.length[item]).tolist():
+            if length not in self.walks:
+                continue
             own = np.flatnonzero(self.length[item] == length)
             for low in range(0, len(own), 4096):
                 part = own[low : low + 4096]
-                low_end, high_end = first[doc[part]], first[doc[part] + 1]
-                at = diag[part, None] + np.arange(length)
-                inside = (at >= low_end[:, None]) & (at < high_end[:, None])
-                w = np.where(inside, h[np.clip(at, 0, len(h) - 1)], _PAD)
-                mine = self.walks.signatures(w)
+                mine = self.walks[length].signatures(cut_windows(h, first, doc[part], diag[part], length))
                 theirs = np.stack([self.signed[int(i)] for i in item[part]])
                 ok[part] = (mine == theirs).any(axis=1)
         return ok
