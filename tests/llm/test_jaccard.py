@@ -103,3 +103,13 @@ def test_empty_table(spark):
 def test_components_of_a_path(spark, driver):
     e = spark.createDataFrame([(i, i + 1) for i in range(1, 40)] + [(100, 101), (101, 100), (7, 7)], "a long, b long")
     assert {r.v: r.root for r in J.components(e, driver).collect()} == {**{i: 1 for i in range(1, 41)}, 100: 100, 101: 100}
+
+
+def test_one_of_each_keeps_one_of_repeated_rows(spark):
+    a, b, c = ("one two three four five six seven", "other words that are not in the first text", "eins zwei drei vier fuenf sechs sieben")
+    rows = [(1, a), (1, a), (1, a.upper()), (1, b), (2, b + " at all"), (3, c), (None, c), (None, c), (None, a), (None, None), (None, None), (4, ""), (4, ""), (4, "!"), (5, "x y")]
+    df = spark.createDataFrame([("s", i, t) for i, t in rows], "source string, doc_id long, text string")
+    left = J.one_of_each(df.repartition(3))
+    assert left.columns == df.columns
+    got = sorted((x.doc_id or 0, (x.text or "").lower()) for x in left.collect())
+    assert got == sorted([(1, a), (1, b), (3, c), (0, c), (0, a), (0, ""), (4, ""), (4, "!"), (5, "x y")])

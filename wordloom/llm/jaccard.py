@@ -33,7 +33,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._spark import kept, read, small_or_shuffled, text_documents
@@ -581,11 +581,26 @@ def _united(edges: pa.Table | None) -> dict:
 
 
 def one_of_each(docs: DataFrame, n: int = GRAM, t: float = THRESHOLD, **how) -> DataFrame:
-    """The rows of ``docs``, all its columns, without those whose doc_id is joined, directly or through others, with a lower one; of several equal rows of one doc_id one stays."""
+    """The rows of ``docs``, all its columns, without those whose doc_id is joined, directly or through others, with a lower one; of several rows of one doc_id (or without one) that have the same set of grams, or the same text without a word, one stays."""
     edges = join(docs.select("doc_id", "text"), n, t, **how)
     drop = components(edges.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"))).filter("v <> root").select(F.col("v").alias("doc_id"))
     left = docs.join(small_or_shuffled(kept(drop), REPEATS), "doc_id", "left_anti")
-    return left
+    again = kept(docs.groupBy("doc_id").count().filter("count > 1").select("doc_id"))
+    if again.isEmpty():
+        return left
+    ids = small_or_shuffled(kept(again.filter("doc_id IS NOT NULL")), REPEATS)
+    rows = left.join(ids, "doc_id", "left_semi").union(left.filter("doc_id IS NULL"))
+    alone = left.join(ids, "doc_id", "left_anti").filter("doc_id IS NOT NULL")
+
+    @F.arrow_udf("long")
+    def same(text: pa.Array) -> pa.Array:
+        return pa.array([set_id(s) if len(s) else None for _, s in sets(text, n)], pa.int64())
+
+    key = same(F.col("text").cast("string"))
+    marked = rows.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("r"), F.col("doc_id").alias("i"), F.col("text").cast("string").alias("t"), key.alias("k"))
+    one = Window.partitionBy("i", "k", F.when(F.col("k").isNull(), F.col("t"))).orderBy("t", F.to_json("r"))
+    first = marked.withColumn("at", F.row_number().over(one)).filter("at = 1").select("r.*")
+    return alone.select(docs.columns).union(first.select(docs.columns))
 
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
