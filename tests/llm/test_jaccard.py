@@ -50,7 +50,60 @@ def corpus(seed=3):
     return rows + [(9001, None), (9002, ""), (None, rows[30][1]), rows[30], rows[30], (31, rows[60][1]), (9003, "!?"), (9004, "ONE")]
 
 
-@pytest.mark.parametrize("how", [{}, {"dense": 5, "heavy": 4}, {"dense": 10**9, "heavy": 3, "parts": 3}, {"dense": 2, "heavy": 10**9}])
+def brute_classes(rows, t=0.5, n=5):
+    """doc_id -> (class, links): from the sets alone."""
+    holders, parent, links = {}, {}, {}
+    for i, x in rows:
+        if i is not None:
+            parent.setdefault(i, i)
+            s = frozenset(grams(x, n))
+            if s:
+                holders.setdefault(s, set()).add(i)
+
+    def find(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    def tie(ids):
+        r = [find(i) for i in ids]
+        for x in r:
+            parent[x] = min(r)
+
+    for s, own in holders.items():
+        near = [o for o in holders if o is not s and len(s & o) >= t * len(s | o)]
+        tie(own.union(*(holders[o] for o in near)))
+        for i in own:
+            links[i] = links.get(i, 0) + len(own) - 1 + len(near)
+    return {i: (find(i), links.get(i, 0)) for i in parent}
+
+
+HOW = [{}, {"dense": 5, "heavy": 4}, {"dense": 10**9, "heavy": 3, "parts": 3}, {"dense": 2, "heavy": 10**9}, {"dense": 3, "room": 7}]
+
+
+@pytest.mark.parametrize("how", HOW)
+def test_classes_are_brute_force(spark, how):
+    rows = corpus()
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5).selectExpr("*", "1 AS n", "2 AS set_id", "3 AS head", "text AS grams", "'x' AS root")
+    got = J.classes(df, **how)
+    assert got.columns == ["doc_id", "class_id", "links"]
+    assert sorted((r.doc_id, r.class_id, r.links) for r in got.collect()) == sorted((i, *x) for i, x in brute_classes(rows).items())
+
+
+@pytest.mark.parametrize("broadcast", [False, True])
+def test_classes_with_many_copies_and_shared_ids(spark, monkeypatch, broadcast):
+    """Half of the rows are one text, some of one doc_id; a doc_id with several texts ties their classes."""
+    if not broadcast:
+        monkeypatch.setattr(J, "REPEATS", -1)
+        monkeypatch.setattr(J, "ASKED", -1)
+    rows = [r for r in corpus(5) if r[0] is None or r[0] < 60]
+    a, b = rows[26][1], rows[0][1]
+    rows += [(1000 + i, a) for i in range(100)] + [(2000, a)] * 30 + [(2000, b)] * 3 + [(2001, b), (2001, None)]
+    got = J.classes(spark.createDataFrame(rows, "doc_id long, text string").repartition(4))
+    assert sorted(map(tuple, got.collect())) == sorted((i, *x) for i, x in brute_classes(rows).items())
+
+
+@pytest.mark.parametrize("how", HOW)
 def test_join_is_brute_force(spark, how):
     rows = corpus()
     df = spark.createDataFrame(rows, "doc_id long, text string").repartition(5).selectExpr("*", "1 AS n", "2 AS set_id", "3 AS a", "text AS grams", "'x' AS region")
@@ -70,7 +123,7 @@ def test_regions_recurse(spark):
     base = [r.integers(0, 2**60, 60) for _ in range(6)]
     parts = [np.unique(np.where(r.random(60) < 0.12, r.integers(0, 2**60, 60), base[i % 6])).astype(np.uint64) for i in range(150)]
     home = np.array([i % 3 > 0 for i in range(150)])
-    got = {(i, j) for a, b, _ in J.region_pairs(parts, home, 0.5, leaf=8) for i, j in zip(a.tolist(), b.tolist())}
+    got = {(i, j) for i, b, _ in J.region_pairs(parts, home, 0.5, leaf=8) for j in b.tolist()}
     want = {(i, j) for i in range(150) for j in range(150) if i != j and home[i] and len(np.intersect1d(parts[i], parts[j])) >= 0.5 * len(np.union1d(parts[i], parts[j]))}
     assert {tuple(sorted(p)) for p in got} == {tuple(sorted(p)) for p in want}
 
@@ -96,7 +149,9 @@ def test_one_of_each_keeps_columns_and_rows_without_partners(spark):
 
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
-    assert J.join(df).count() == 0 and J.one_of_each(df).count() == 0
+    assert J.join(df).count() == 0 and J.one_of_each(df).count() == 0 and J.classes(df).count() == 0
+    none = spark.createDataFrame([(1, None), (2, ""), (None, "x y")], "doc_id long, text string")
+    assert sorted(map(tuple, J.classes(none).collect())) == [(1, 1, 0), (2, 2, 0)]
 
 
 @pytest.mark.parametrize("driver", [10**6, 0])

@@ -1,16 +1,17 @@
 """N-gram Jaccard join: an exact metric-space join with pivots, Voronoi regions and triangle-inequality windows.
 
 A document is the set of its word 5-grams (a shorter text: the one gram of all its
-words).  ``1 - Jaccard`` is a metric; :func:`join` finds every pair of different sets
-within ``r = 1 - t``.  Equal sets are one point of the space, so copies are collapsed
-first and tied to the first document that holds the set.
+words).  ``1 - Jaccard`` is a metric; every pair of different sets within ``r = 1 - t`` is found.  Equal sets are
+one point of the space, so copies are collapsed first and tied to the first document that holds the set.
+:func:`classes` gives a row for each document (its class and number of links), :func:`join` the pairs of sets.
 
 1. *Document pivots.*  Sets whose least gram many sets share are pivots (dense places).
    A point within RHO of a pivot has the region of its nearest pivot as home.  A partner
    of a home point is within ``RHO + r < 1`` of the pivot, so every point in that window is
-   replicated to the region.  A region joins its home points with all it holds,
-   recursively: while it is large, it picks pivots of its own, makes cells, and adds to each
-   cell the points whose distances the triangle inequality allows.
+   replicated to the region.  A region joins its home points with all it holds, recursively: a large region is cut
+   into rings around its pivot and rings into blocks of at most ROOM points, two of which, if the triangle
+   inequality lets their rings meet, are a task; in a task cells of further pivots take
+   the points whose distances that inequality allows.
 2. *Gram pivots.*  The other points are nearly 1 from all documents, where document pivots
    prune nothing.  There the pivots are single grams in one global order, light grams
    first.  Of a set of ``n`` grams at most ``n - ceil(t n)`` may be missing from a partner, so
@@ -18,11 +19,13 @@ first and tied to the first document that holds the set.
    its first common gram.  The common grams of a pair are counted over all regions;
    ``counted + remaining`` bounds the intersection, and what passes is verified on whole sets.
 
-Both parts are exact for any choice of pivots, order and thresholds of size.  Grams and
-sets are told apart by 64-bit hashes.
+Both parts are exact for any choice of pivots, order and bounds of what is broadcast (PIVOTS, PIVOT_GRAMS, HEAVY_GRAMS, REPEATS,
+ASKED, ``components``'s ``driver``): these decide how a pair is found, never whether.  Sets and grams are told apart by
+64-bit hashes.  Tasks tell how many partners a set has and where they lead, so what is shuffled
+does not grow with the pairs of a dense place.
 
-Defined results: null and empty texts (and texts without a word), and rows whose doc_id is
-null, have no partners; a doc_id that occurs in several rows is joined by each of its texts
+Defined results: null and empty texts (and texts without a word) have no partners: they are classes of their own with no links;
+rows whose doc_id is null are left out; a doc_id that occurs in several rows is joined by each of its texts
 and never with itself; an empty table gives an empty result; texts are used whole; other
 columns are not looked at.
 """
@@ -45,15 +48,19 @@ THRESHOLD = 0.5
 RHO = 0.4
 #: sets that share their least gram before one of them is a pivot
 DENSE = 24
-#: pivots' grams at most, all told (they are broadcast); fewer pivots are still exact
-PIVOT_GRAMS = 1_000_000
+#: pivots, and pivots' grams, at most, all told (they are broadcast); fewer pivots are still exact
+PIVOTS, PIVOT_GRAMS = 4096, 1_000_000
 #: sets that share a window gram before it is heavy
 HEAVY = 32
 #: heavy grams at most (they are broadcast): beyond it HEAVY is raised
 HEAVY_GRAMS = 1_000_000
-#: ids of repeated rows that are broadcast at most; beyond it repeats are dropped in the regions
+#: ids of repeated rows that are broadcast at most; beyond it they go by a shuffled join
 REPEATS = 2_000_000
+#: documents whose sets are asked for that are broadcast at most; beyond it they are joined by shuffle
+ASKED = 500_000
 LEAF = 512
+#: points of a region that one task holds, and rings that a larger one is cut into
+ROOM, RINGS = 2_048, 10
 _FLUSH = 1_000_000
 _NONE = np.zeros(0, dtype=np.uint64)
 _U = np.uint64
@@ -122,12 +129,18 @@ def points(docs: DataFrame, n: int = GRAM) -> DataFrame:
     return docs.filter("doc_id IS NOT NULL").mapInArrow(run, "doc_id long, set_id long, n int, least long").distinct()
 
 
-def _repeats(pts: DataFrame) -> np.ndarray | None:
-    """Sorted doc_ids that hold no set first, or None if they are many."""
-    first = pts.groupBy("set_id").agg(F.min("doc_id").alias("doc_id")).select("doc_id").distinct()
-    other = pts.select("doc_id").distinct().join(first, "doc_id", "left_anti")
-    rows = other.limit(REPEATS + 1).toArrow().column("doc_id").to_numpy()
-    return None if len(rows) > REPEATS else np.sort(rows)
+def different_sets(pts: DataFrame) -> DataFrame:
+    """(set_id, head, holders, n, least): the first document and the number of documents of each set."""
+    return pts.groupBy("set_id").agg(F.min("doc_id").alias("head"), F.count("*").alias("holders"), F.first("n").alias("n"), F.first("least").alias("least"))
+
+
+def first_rows(docs: DataFrame, pts: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows of ``docs`` without those of documents that hold no set first."""
+    heads = found.select(F.col("head").alias("doc_id")).distinct()
+    other = kept(pts.select("doc_id").distinct().join(heads, "doc_id", "left_anti"))
+    if other.count() <= REPEATS:
+        return docs.join(F.broadcast(other), "doc_id", "left_anti")
+    return docs.join(heads, "doc_id", "left_semi")
 
 
 class _Pivots:
@@ -151,22 +164,21 @@ class _Pivots:
         return p, 1 - common[p] / (self.sizes[p] + len(s) - common[p])
 
 
-def _pivots(docs: DataFrame, pts: DataFrame, n: int, dense: int, rho: float, room: int) -> _Pivots | None:
-    first = pts.groupBy("set_id").agg(F.min("doc_id").alias("doc_id"), F.first("n").alias("n"), F.first("least").alias("least"))
-    heads = first.groupBy("least").agg(F.count("*").alias("c"), F.min(F.struct("set_id", "doc_id", "n")).alias("p")).filter(F.col("c") >= dense)
-    rows = heads.select("c", "p.*").orderBy(F.desc("c"), "set_id").limit(4096).toPandas()
+def _pivots(docs: DataFrame, found: DataFrame, n: int, dense: int, rho: float, room: int) -> _Pivots | None:
+    heads = found.groupBy("least").agg(F.count("*").alias("c"), F.min(F.struct("set_id", "head", "n")).alias("p")).filter(F.col("c") >= dense)
+    rows = heads.select("c", "p.*").orderBy(F.desc("c"), "set_id").limit(PIVOTS).toPandas()
     rows = rows[rows["n"].cumsum() <= room]
     if not len(rows):
         return None
-    wanted = dict(zip(rows["set_id"].tolist(), rows["doc_id"].tolist()))
+    wanted = dict(zip(rows["set_id"].tolist(), rows["head"].tolist()))
 
     def run(batches):
         for batch in batches:
             out = {k: s.tobytes() for _, s in sets(batch.column("text"), n) if len(s) and (k := set_id(s)) in wanted}
             yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.binary())], ["set_id", "grams"])
 
-    own = docs.join(F.broadcast(docs.sparkSession.createDataFrame([(d,) for d in set(wanted.values())], "doc_id long")), "doc_id")  # 4,096 at most
-    got = own.mapInArrow(run, "set_id long, grams binary").toPandas().drop_duplicates("set_id").sort_values("set_id")
+    own = docs.join(F.broadcast(docs.sparkSession.createDataFrame([(d,) for d in set(wanted.values())], "doc_id long")), "doc_id")  # PIVOTS at most
+    got = own.mapInArrow(run, "set_id long, grams binary").distinct().toPandas().sort_values("set_id")
     got = got.set_index("set_id").loc[[k for k in rows["set_id"] if k in set(got["set_id"])]].reset_index()
     parts = [np.frombuffer(b, dtype=np.uint64) for b in got["grams"]]
     size, free, chosen = np.array([len(p) for p in parts]), np.ones(len(parts), dtype=bool), []
@@ -177,29 +189,71 @@ def _pivots(docs: DataFrame, pts: DataFrame, n: int, dense: int, rho: float, roo
     return _Pivots(got["set_id"].to_numpy()[chosen], [parts[q] for q in chosen])
 
 
+# ---------------------------------------------------------------- what a task tells of its pairs
+
+_LINKS = "set_id long, head long, near long, root long"
+_PAIRS = "a long, b long, jaccard double"
+
+
+class _Tally:
+    """Of points in the order of their heads: how many partners each has and the least head they lead to; or, if ``whole``, all pairs."""
+
+    def __init__(self, ids: np.ndarray, heads: np.ndarray, whole: bool):
+        self.ids, self.heads, self.whole, self.pairs = ids, heads, whole, []
+        self.near, self.label = np.zeros(len(ids), dtype=np.int64), np.arange(len(ids))
+
+    def add(self, q: int, j: np.ndarray, s: np.ndarray) -> None:
+        """Point q has the partners j; no pair may be told twice."""
+        if self.whole:
+            self.pairs.append((np.minimum(self.ids[q], self.ids[j]), np.maximum(self.ids[q], self.ids[j]), s))
+        elif len(j):
+            self.near[j] += 1
+            self.near[q] += len(j)
+            labels = np.unique(np.append(self.label[j], self.label[q]))
+            if len(labels) > 1:
+                to = np.arange(len(self.ids))
+                to[labels] = labels[0]
+                self.label = to[self.label]
+
+    def table(self) -> pa.Table:
+        if self.whole:
+            cols = zip(*self.pairs, (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)))
+            return pa.table(dict(zip(("a", "b", "jaccard"), (np.concatenate(c) for c in cols))))
+        own = np.flatnonzero(self.near)
+        return pa.table({"set_id": self.ids[own], "head": self.heads[own], "near": self.near[own], "root": self.heads[self.label[own]]})
+
+
+def _by_head(table: pa.Table, names: list[str]):
+    """The columns of a task's rows by (head, set_id), one row for each set."""
+    x = table.select(names).to_pandas().sort_values(["head", "set_id"], kind="stable").drop_duplicates("set_id")
+    return [x[c].to_numpy() for c in names[:-1]] + [[np.frombuffer(g, dtype=np.uint64) for g in x[names[-1]]]]
+
+
 # ---------------------------------------------------------------- regions of document pivots
 
 
 def _memberships(docs: DataFrame, pivots: _Pivots, n: int, t: float, rho: float) -> DataFrame:
-    """(region, set_id, home, d, grams): a point in each region whose window holds it; home is its own region, -1 if it has none."""
+    """(region, set_id, head, home, d, grams): a point in each region whose window holds it; home is its own region, -1 if it has none."""
     cast = docs.sparkSession.sparkContext.broadcast(pivots)
 
     def run(batches):
-        pv = cast.value
+        pv, seen = cast.value, set()
         for batch in batches:
-            rows = []
-            for _, s in sets(batch.column("text"), n):
+            ids, rows = batch.column("doc_id").to_numpy(zero_copy_only=False), []
+            for at, s in sets(batch.column("text"), n):
                 p, d = pv.distances(s)
                 near = d <= rho + 1 - t + 1e-9
-                if near.any():
+                if near.any() and (key := (int(ids[at]), set_id(s))) not in seen:
+                    seen.add(key)
                     k = int(np.lexsort((p, d))[0])
                     home = int(p[k]) if d[k] <= rho else -1
-                    raw, i = s.tobytes(), set_id(s)
-                    rows += [(int(q), i, home, float(x), raw) for q, x in zip(p[near], d[near]) if x <= d[k] + 2 * (1 - t) + 1e-9]
-            cols = list(zip(*rows)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int32(), pa.int64(), pa.int32(), pa.float64(), pa.binary()))], ["region", "set_id", "home", "d", "grams"])
+                    raw = s.tobytes()
+                    rows += [(int(q), key[1], key[0], home, float(x), raw) for q, x in zip(p[near], d[near]) if x <= d[k] + 2 * (1 - t) + 1e-9]
+            cols = list(zip(*rows)) or [()] * 6
+            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["region", "set_id", "head", "home", "d", "grams"])
 
-    return docs.mapInArrow(run, "region int, set_id long, home int, d double, grams binary")
+    return docs.mapInArrow(run, "region int, set_id long, head long, home int, d double, grams binary")
 
 
 def common_counts(parts: list[np.ndarray], queries: np.ndarray):
@@ -223,15 +277,15 @@ def common_counts(parts: list[np.ndarray], queries: np.ndarray):
         yield q, np.bincount(owner[at], minlength=len(parts))
 
 
-def region_pairs(parts: list[np.ndarray], home: np.ndarray, t: float, leaf: int = LEAF, depth: int = 0):
-    """(i, j, jaccard) of pairs within r of which i is a home point; recursive and exact.  A pair of home points may come both ways."""
+def region_pairs(parts: list[np.ndarray], home: np.ndarray, t: float, leaf: int = LEAF):
+    """(i, partners j, jaccard) of the pairs within r of which i is a home point; recursive and exact.  A pair of home points comes both ways."""
     size = np.array([len(p) for p in parts], dtype=np.int64)
     mine = np.flatnonzero(home)
-    if len(mine) <= leaf or depth >= 6:
+    if len(mine) <= leaf:
         for q, common in common_counts(parts, mine):
             j = np.flatnonzero(common >= t / (1 + t) * (size + size[q]) - 1e-9)
             j = j[j != q]
-            yield np.full(len(j), q), j, common[j] / (size[j] + size[q] - common[j])
+            yield int(q), j, common[j] / (size[j] + size[q] - common[j])
         return
     r = 1 - t
     heads = mine[np.linspace(0, len(mine) - 1, max(2, min(64, len(mine) // leaf))).astype(int)]
@@ -239,8 +293,8 @@ def region_pairs(parts: list[np.ndarray], home: np.ndarray, t: float, leaf: int
     for k, (q, common) in enumerate(common_counts(parts, heads)):
         d[k] = 1 - common / np.maximum(size + size[q] - common, 1)
     cell = d.argmin(axis=0)
-    if max(np.bincount(cell[mine], minlength=len(heads))) == len(mine):  # no pivot parts them
-        yield from region_pairs(parts, home, t, len(mine), depth + 1)
+    if 2 * max(np.bincount(cell[mine], minlength=len(heads))) > len(mine):  # the pivots hardly part them
+        yield from region_pairs(parts, home, t, len(mine))
         return
     for k in range(len(heads)):
         own = home & (cell == k)
@@ -248,23 +302,61 @@ def region_pairs(parts: list[np.ndarray], home: np.ndarray, t: float, leaf: int
             least, most = size[own].min(), size[own].max()
             window = own | ((d[k] <= d[k][own].max() + r + 1e-9) & (d[k] >= d[k][own].min() - r - 1e-9) & (size >= t * least - 1e-9) & (size <= most / t + 1e-9))
             at = np.flatnonzero(window)
-            for i, j, s in region_pairs([parts[x] for x in at], own[at], t, leaf, depth + 1):
-                yield at[i], at[j], s
-
+            for i, j, s in region_pairs([parts[x] for x in at], own[at], t, leaf):
+                yield int(at[i]), at[j], s
+
+
+def _blocks(members: DataFrame, t: float, room: int) -> DataFrame:
+    """``members`` with (low, high, block): a region of over ``room`` points is cut into rings around its pivot, rings into blocks;
+    a point goes to the task of each two blocks, its own one of them, whose rings the triangle inequality lets meet."""
+    sizes = members.groupBy("region", F.least(F.lit(RINGS - 1), F.floor(F.col("d") * RINGS)).cast("int").alias("ring")).count().toPandas()  # PIVOTS * RINGS rows at most
+    plan = {}
+    for region, x in sizes.groupby("region"):
+        blocks = np.zeros(RINGS, dtype=np.int64)
+        if x["count"].sum() <= room:
+            blocks[0] = 1
+        else:
+            blocks[x["ring"]] = -(-x["count"] // room)
+        plan[int(region)] = (bool(x["count"].sum() > room), np.concatenate([[0], np.cumsum(blocks)]))
+    cast = members.sparkSession.sparkContext.broadcast(plan)
+    reach = int((1 - t + 1e-9) * RINGS) + 1
 
-def _joined_regions(members: DataFrame, t: float) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            region, d, ids = (batch.column(c).to_numpy() for c in ("region", "d", "set_id"))
+            row, own, other = [], [], []
+            for k in range(len(region)):
+                cut, first = cast.value[int(region[k])]
+                ring = min(RINGS - 1, int(d[k] * RINGS)) if cut else 0
+                mine = int(first[ring]) + int(mix(ids[k : k + 1].view(np.uint64))[0] % _U(first[ring + 1] - first[ring]))
+                others = range(int(first[max(0, ring - reach)]), int(first[min(RINGS, ring + reach + 1)]))
+                row += [k] * len(others)
+                own += [mine] * len(others)
+                other += others
+            own, other = np.array(own, dtype=np.int64), np.array(other, dtype=np.int64)
+            out = batch.take(pa.array(row, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*out.columns, *(pa.array(x) for x in (np.minimum(own, other), np.maximum(own, other), own))], [*out.schema.names, "low", "high", "block"])
+
+    return members.mapInArrow(run, "region int, set_id long, head long, home int, d double, grams binary, low long, high long, block long")
+
+
+def _joined_regions(members: DataFrame, t: float, room: int, whole: bool) -> DataFrame:
     def run(table: pa.Table) -> pa.Table:
-        x = table.to_pandas().drop_duplicates("set_id").sort_values("set_id")
-        ids, homes, region = x["set_id"].to_numpy(), x["home"].to_numpy(), int(x["region"].iloc[0])
-        a, b, s = [], [], []
-        for i, j, v in region_pairs([np.frombuffer(g, dtype=np.uint64) for g in x["grams"]], homes == region, t):
-            # of two regions that both have the pair, the lower one reports it
-            ok = (homes[j] < 0) | (homes[j] > region) | ((homes[j] == region) & (i < j))
-            a, b, s = [*a, ids[i[ok]]], [*b, ids[j[ok]]], [*s, v[ok]]
-        cols = [np.concatenate([*c, np.zeros(0, k)]) for c, k in ((a, np.int64), (b, np.int64), (s, np.float64))]
-        return pa.table({"a": np.minimum(cols[0], cols[1]), "b": np.maximum(cols[0], cols[1]), "jaccard": cols[2]})
-
-    return members.groupBy("region").applyInArrow(run, "a long, b long, jaccard double")
+        region, high = table["region"][0].as_py(), table["high"][0].as_py()
+        ids, heads, homes, block, parts = _by_head(table, ["set_id", "head", "home", "block", "grams"])
+        tally, home, far = _Tally(ids, heads, whole), homes == region, np.where(homes < 0, np.iinfo(homes.dtype).max, homes)
+        if table["low"][0].as_py() == high:
+            for i, j, s in region_pairs(parts, home, t):
+                ok = (far[j] > region) | ((homes[j] == region) & (i < j))  # of two regions that both have the pair, the lower one tells it
+                tally.add(i, j[ok], s[ok])
+            return tally.table()
+        size, other = np.array([len(p) for p in parts], dtype=np.int64), block == high
+        for i, common in common_counts(parts, np.flatnonzero(~other)):
+            j = np.flatnonzero(other & (np.minimum(far[i], far) == region) & (common >= t / (1 + t) * (size + size[i]) - 1e-9))
+            tally.add(i, j, common[j] / (size[j] + size[i] - common[j]))
+        return tally.table()
+
+    return _blocks(kept(members), t, room).groupBy("region", "low", "high").applyInArrow(run, _PAIRS if whole else _LINKS)
 
 
 # ---------------------------------------------------------------- regions of gram pivots
@@ -290,51 +382,53 @@ def _order(s: np.ndarray, heavy: Lookup | None, p: int, parts: int) -> tuple[np.
     return s[:p], min(int(s[p - 1] >> _U(32)), 0xFFFFFFFE)
 
 
-def _windows(docs: DataFrame, n: int, t: float, rho: float, pivots, repeats, heavy: np.ndarray | None, parts: int) -> DataFrame:
-    """(part, head, body): packed window grams of the points without a home; without ``heavy`` the grams alone, to be counted."""
+#: of a point in a part: its set, its grams in all, its last window gram, the part of its first one, its grams here
+_HEAD = np.dtype([("id", "<i8"), ("size", "<u4"), ("last", "<u4"), ("to", "<u2"), ("here", "<u4")])
+
+
+def _windows(docs: DataFrame, n: int, t: float, rho: float, pivots, heavy: np.ndarray | None, parts: int) -> DataFrame:
+    """(part, head, body): packed window grams (32 bits each) of the points without a home; without ``heavy`` the grams alone, to be counted.
+
+    Grams of a part that are equal in 32 bits are taken for one: that can only add candidates, which are verified.
+    """
     sc = docs.sparkSession.sparkContext
-    cast = sc.broadcast((pivots, repeats, None if heavy is None else Lookup(heavy)))
+    cast = sc.broadcast((pivots, None if heavy is None else Lookup(heavy)))
     names = ["part", "head", "body"]
 
     def pack(todo, counting):
-        g = np.concatenate([x[0] for x in todo])
-        key = gram_keys(g, parts)
+        key = gram_keys(np.concatenate([x[0] for x in todo]), parts)
         part = key >> _U(32)
         order = np.argsort(part.astype(np.uint16), kind="stable")
         cut = np.searchsorted(part[order], np.arange(parts + 1))
-        g = g[order]
-        if counting:
-            low = key[order].astype(np.uint32)
-            heads = [b""] * parts
-            bodies = [low[cut[k] : cut[k + 1]].tobytes() for k in range(parts)]
-        else:
+        low = key[order].astype(np.uint32)
+        own = np.flatnonzero(cut[1:] > cut[:-1])
+        heads = [b""] * len(own)
+        if not counting:
             doc = np.repeat(np.arange(len(todo)), [len(x[0]) for x in todo])[order]
-            info = np.array([x[1:] for x in todo], dtype=np.int64)
-            heads, bodies = [], []
-            for k in range(parts):
-                d = doc[cut[k] : cut[k + 1]]
-                u, local = np.unique(d, return_inverse=True)
-                heads.append(info[u, 0].tobytes() + info[u, 1].astype(np.uint32).tobytes() + info[u, 2].astype(np.uint32).tobytes())
-                bodies.append(g[cut[k] : cut[k + 1]].tobytes() + local.astype(np.uint32).tobytes())
-        own = [k for k in range(parts) if cut[k] < cut[k + 1]]
-        return pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array([heads[k] for k in own], pa.binary()), pa.array([bodies[k] for k in own], pa.binary())], names)
+            info = np.empty(len(todo), dtype=_HEAD)
+            info["id"], info["size"], info["last"] = ([x[k] for x in todo] for k in (1, 2, 3))
+            info["to"] = part[np.concatenate([[0], np.cumsum([len(x[0]) for x in todo])[:-1]])]
+            for k, p in enumerate(own):
+                u, here = np.unique(doc[cut[p] : cut[p + 1]], return_counts=True)
+                head = info[u]
+                head["here"] = here
+                heads[k] = head.tobytes()
+        return pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(heads, pa.binary()), pa.array([low[cut[p] : cut[p + 1]].tobytes() for p in own], pa.binary())], names)
 
     def run(batches):
-        pv, again, hv = cast.value
-        todo, held = [], 0
+        pv, hv = cast.value
+        todo, held, seen = [], 0, set()
         for batch in batches:
-            ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-            for i, s in sets(batch.column("text"), n):
-                if not len(s):
-                    continue
-                if again is not None and len(again) and again[min(np.searchsorted(again, ids[i]), len(again) - 1)] == ids[i]:
+            for _, s in sets(batch.column("text"), n):
+                if not len(s) or (key := set_id(s)) in seen:
                     continue
+                seen.add(key)
                 if pv is not None:
                     _, d = pv.distances(s)
                     if len(d) and d.min() <= rho:
                         continue
                 window, last = _order(s, hv, len(s) - int(need(t, len(s))) + 1, parts)
-                todo.append((window, 0 if heavy is None else set_id(s), len(s), last))
+                todo.append((window, key, len(s), last))
                 held += len(window)
                 if held >= _FLUSH:
                     yield pack(todo, heavy is None)
@@ -404,8 +498,18 @@ def group_pairs(g: np.ndarray, doc: np.ndarray, size: np.ndarray, t: float, room
         yield np.concatenate(lot, axis=1)
 
 
+def _counted(key: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different keys and the sums of their counts."""
+    key, to = np.unique(key, return_inverse=True)
+    return key, np.bincount(to, weights=c, minlength=len(key)).astype(np.int64)
+
+
 def _candidates(windows: DataFrame, parts: int, t: float) -> DataFrame:
-    """(a, b), a < b, of the pairs whose common window grams leave the threshold possible."""
+    """(a, b), a < b, of the pairs whose common window grams leave the threshold possible.
+
+    A pair is counted where the first window gram of its lower set belongs: near copies share it as a rule, so
+    that what is told of a set is told to few parts.
+    """
 
     def run(batches):
         by: dict[int, list] = {}
@@ -413,131 +517,151 @@ def _candidates(windows: DataFrame, parts: int, t: float) -> DataFrame:
             for p, h, b in zip(batch.column("part").to_pylist(), batch.column("head"), batch.column("body")):
                 by.setdefault(p, []).append((h.as_py(), b.as_py()))
         for p in sorted(by):
-            heads, grams, docs = [], [], []
-            at = 0
-            for h, b in by.pop(p):
-                k, m = len(h) // 16, len(b) // 12
-                heads.append((np.frombuffer(h[: 8 * k], np.int64), np.frombuffer(h[8 * k : 12 * k], np.uint32), np.frombuffer(h[12 * k :], np.uint32)))
-                grams.append(np.frombuffer(b[: 8 * m], np.uint64))
-                docs.append(np.frombuffer(b[8 * m :], np.uint32).astype(np.int64) + at)
-                at += k
-            ids, size, last = (np.concatenate([h[i] for h in heads]) for i in range(3))
-            ids, one, to = np.unique(ids, return_index=True, return_inverse=True)
-            size, last = size[one].astype(np.int64), last[one].astype(np.int64)
-            g, doc = np.concatenate(grams), to[np.concatenate(docs)]
-            del heads, grams, docs
+            lots = by.pop(p)
+            head = np.concatenate([np.frombuffer(h, _HEAD) for h, _ in lots])
+            g = np.concatenate([np.frombuffer(b, np.uint32) for _, b in lots])
+            del lots
+            _, one, to = np.unique(head["id"], return_index=True, return_inverse=True)
+            doc, info = np.repeat(to, head["here"]), head[one]
+            size, held, room = info["size"].astype(np.int64), (np.zeros(0, np.int64), np.zeros(0, np.int64)), 4_000_000
             for a, b in group_pairs(g, doc, size, t):
-                key, c = np.unique(np.minimum(a, b) * len(ids) + np.maximum(a, b), return_counts=True)
-                yield pack(ids, size, last, key // len(ids), key % len(ids), c)
-
-    def pack(ids, size, last, a, b, c):
-        part = (mix(ids[a].view(np.uint64)) >> _U(32)) % _U(parts)
-        order = np.argsort(part.astype(np.uint16), kind="stable")
+                new = _counted(np.minimum(a, b) * len(info) + np.maximum(a, b), np.ones(len(a)))
+                held = _counted(np.concatenate([held[0], new[0]]), np.concatenate([held[1], new[1]]))
+                if len(held[0]) > room:
+                    yield pack(info, *held)
+                    held = (np.zeros(0, np.int64), np.zeros(0, np.int64))
+            if len(held[0]):
+                yield pack(info, *held)
+
+    def pack(info, key, c):
+        a, b = key // len(info), key % len(info)
+        part = info["to"][a]
+        order = np.argsort(part, kind="stable")
         cut = np.searchsorted(part[order], np.arange(parts + 1))
         own = np.flatnonzero(cut[1:] > cut[:-1])
-        heads, bodies = [], []
+        heads, bodies, kinds = [], [], []
         for k in own:
             o = order[cut[k] : cut[k + 1]]
             u, local = np.unique(np.concatenate([a[o], b[o]]), return_inverse=True)
-            heads.append(ids[u].tobytes() + size[u].astype(np.uint32).tobytes() + last[u].astype(np.uint32).tobytes())
-            bodies.append(local.astype(np.uint32).tobytes() + c[o].astype(np.uint32).tobytes())
-        return pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(heads, pa.binary()), pa.array(bodies, pa.binary())], ["part", "head", "body"])
+            small = len(u) <= 65_536 and c[o].max() < 256
+            heads.append(info["id"][u].tobytes() + info["size"][u].tobytes() + info["last"][u].tobytes())
+            bodies.append(local.astype(np.uint16 if small else np.uint32).tobytes() + c[o].astype(np.uint8 if small else np.uint32).tobytes())
+            kinds.append(small)
+        return pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(kinds, pa.bool_()), pa.array(heads, pa.binary()), pa.array(bodies, pa.binary())], ["part", "small", "head", "body"])
 
     def total(batches):
         by: dict[int, list] = {}
         for batch in batches:
-            for p, h, b in zip(batch.column("part").to_pylist(), batch.column("head").to_pylist(), batch.column("body").to_pylist()):
-                by.setdefault(p, []).append((h, b))
+            for p, *x in zip(*(batch.column(c).to_pylist() for c in ("part", "small", "head", "body"))):
+                by.setdefault(p, []).append(x)
         for p in sorted(by):
             ids, size, last, a, b, c, at = [], [], [], [], [], [], 0
-            for h, x in by.pop(p):
-                k, m = len(h) // 16, len(x) // 12
+            for small, h, x in by.pop(p):
+                k, m = len(h) // 16, len(x) // (5 if small else 12)
                 ids.append(np.frombuffer(h[: 8 * k], np.int64))
                 size.append(np.frombuffer(h[8 * k : 12 * k], np.uint32))
                 last.append(np.frombuffer(h[12 * k :], np.uint32))
-                x = np.frombuffer(x, np.uint32)
-                a.append(x[:m].astype(np.int64) + at)
-                b.append(x[m : 2 * m].astype(np.int64) + at)
-                c.append(x[2 * m :])
+                local = np.frombuffer(x, np.uint16 if small else np.uint32, 2 * m).astype(np.int64) + at
+                a.append(local[:m])
+                b.append(local[m:])
+                c.append(np.frombuffer(x, np.uint8 if small else np.uint32, m, 4 * m if small else 8 * m))
                 at += k
             ids, one, to = np.unique(np.concatenate(ids), return_index=True, return_inverse=True)
             size, last = np.concatenate(size)[one].astype(np.int64), np.concatenate(last)[one]
-            pair, to = np.unique(to[np.concatenate(a)] * len(ids) + to[np.concatenate(b)], return_inverse=True)
-            common = np.bincount(to, weights=np.concatenate(c), minlength=len(pair))
+            pair, common = _counted(to[np.concatenate(a)] * len(ids) + to[np.concatenate(b)], np.concatenate(c))
             a, b = pair // len(ids), pair % len(ids)
             left = need(t, size) - 1  # grams after the window
             rest = np.where(last[a] < last[b], left[a], np.where(last[b] < last[a], left[b], np.maximum(left[a], left[b])))
             ok = common + rest >= t / (1 + t) * (size[a] + size[b]) - 1e-9
             yield pa.RecordBatch.from_arrays([pa.array(ids[a[ok]]), pa.array(ids[b[ok]])], ["a", "b"])
 
-    got = windows.repartition(parts, "part").mapInArrow(run, "part int, head binary, body binary")
+    got = windows.repartition(parts, "part").mapInArrow(run, "part int, small boolean, head binary, body binary")
     return got.repartition(parts, "part").mapInArrow(total, "a long, b long")
 
 
-def _verified(docs: DataFrame, pts: DataFrame, pairs: DataFrame, n: int, t: float, room: int = 2_000) -> DataFrame:
-    """(a, b, jaccard): the pairs whose whole sets pass.  Each set goes once to its component of pairs; a component of more than ``room`` sets is cut into blocks of lower partners."""
+def _verified(docs: DataFrame, found: DataFrame, pairs: DataFrame, n: int, t: float, whole: bool, room: int = 2_000) -> DataFrame:
+    """The pairs whose whole sets pass.  Each set goes once to its component of pairs; a component of more than ``room`` sets is cut into blocks of lower partners."""
     home = kept(components(pairs))
     blocks = home.groupBy("root").agg(F.ceil(F.count("*") / room).alias("blocks"))
-    home = home.join(blocks, "root").select(F.col("v").alias("a"), "root", F.expr("pmod(xxhash64(v), blocks)").alias("block"))
-    spots = pairs.join(home, "a").select("root", "block", F.explode(F.array(F.struct(F.col("a").alias("set_id"), F.lit(True).alias("own")), F.struct(F.col("b").alias("set_id"), F.lit(False).alias("own")))).alias("s"))
-    spots = kept(spots.groupBy("root", "block", "s.set_id").agg(F.max("s.own").alias("own")))
-    holders = pts.groupBy("set_id").agg(F.min("doc_id").alias("doc_id")).join(spots.select("set_id").distinct(), "set_id")
-    holders = small_or_shuffled(kept(holders.select("doc_id").distinct()), REPEATS)
+    home = home.join(blocks, "root").select(F.col("v").alias("a"), F.struct("root", F.expr("pmod(xxhash64(v), blocks)").alias("block")).alias("spot"))
+    spots = pairs.join(home, "a").select("spot", F.explode(F.array(F.struct(F.col("a").alias("set_id"), F.lit(True).alias("own")), F.struct(F.col("b").alias("set_id"), F.lit(False).alias("own")))).alias("s"))
+    spots = spots.groupBy("spot", "s.set_id").agg(F.max("s.own").alias("own")).join(found.select("set_id", "head"), "set_id")
+    asked = kept(spots.groupBy(F.col("head").alias("doc_id")).agg(F.collect_list(F.struct("set_id", "spot.root", "spot.block", "own")).alias("asked")))
 
     def grams(batches):
         for batch in batches:
-            out = [(set_id(s), s.tobytes()) for _, s in sets(batch.column("text"), n) if len(s)]
-            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], ["set_id", "grams"])
+            ids, want, out = batch.column("doc_id").to_pylist(), batch.column("asked").to_pylist(), []
+            for i, s in sets(batch.column("text"), n):
+                if len(s):
+                    key = set_id(s)
+                    out += [(w["root"], w["block"], key, ids[i], w["own"], s.tobytes()) for w in want[i] if w["set_id"] == key]
+            cols = list(zip(*out)) or [()] * 6
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["root", "block", "set_id", "head", "own", "grams"])
 
-    held = docs.join(holders, "doc_id", "left_semi").mapInArrow(grams, "set_id long, grams binary")
+    held = docs.join(small_or_shuffled(asked, ASKED), "doc_id").mapInArrow(grams, "root long, block long, set_id long, head long, own boolean, grams binary")
 
     def run(table: pa.Table) -> pa.Table:
-        x = table.select(["set_id", "own", "grams"]).to_pandas().drop_duplicates("set_id")
-        ids, parts = x["set_id"].to_numpy(), [np.frombuffer(g, dtype=np.uint64) for g in x["grams"]]
-        size, out = np.array([len(p) for p in parts]), [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
-        for q, common in common_counts(parts, np.flatnonzero(x["own"].to_numpy())):
+        ids, heads, own, parts = _by_head(table, ["set_id", "head", "own", "grams"])
+        size, tally = np.array([len(p) for p in parts]), _Tally(ids, heads, whole)
+        for q, common in common_counts(parts, np.flatnonzero(own)):
             s = common / (size + size[q] - common)
             j = np.flatnonzero((s >= t - 1e-12) & (ids > ids[q]))
-            out.append((np.full(len(j), ids[q]), ids[j], s[j]))
-        return pa.table(dict(zip(("a", "b", "jaccard"), (np.concatenate(c) for c in zip(*out)))))
+            tally.add(int(q), j, s[j])
+        return tally.table()
 
-    return spots.join(held, "set_id").groupBy("root", "block").applyInArrow(run, "a long, b long, jaccard double")
+    return held.groupBy("root", "block").applyInArrow(run, _PAIRS if whole else _LINKS)
 
 
 # ---------------------------------------------------------------- the join
 
 
-def set_pairs(docs: DataFrame, n: int = GRAM, t: float = THRESHOLD, rho: float = RHO, dense: int = DENSE, heavy: int = HEAVY, parts: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """The points (doc_id, set_id, n, least) and the pairs of sets (a, b, jaccard), a < b."""
+def linked(docs: DataFrame, whole: bool, n: int = GRAM, t: float = THRESHOLD, rho: float = RHO, dense: int = DENSE, heavy: int = HEAVY, parts: int | None = None, room: int = ROOM) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The points, the different sets, and the pairs of sets: all of them (a, b, jaccard), or by set how many and where they lead (set_id, head, near, root)."""
     if rho + 1 - t >= 1:
         raise ValueError("rho must be under t")
     docs = text_documents(docs).filter("doc_id IS NOT NULL AND text IS NOT NULL")
     pts = kept(points(docs, n))
-    total = pts.agg(F.sum("n")).first()[0] or 0
+    found = kept(different_sets(pts))
+    total = found.agg(F.sum("n")).first()[0] or 0
     width = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = parts or max(1, min(65_000, max(width, int(total * (1 - t) / 1_500_000) + 1)))
-    repeats = _repeats(pts)
-    pivots = _pivots(docs, pts, n, dense, rho, PIVOT_GRAMS)
-    found = []
+    docs = first_rows(docs, pts, found)
+    pivots = _pivots(docs, found, n, dense, rho, PIVOT_GRAMS)
+    told = []
     if pivots is not None:
-        found.append(_joined_regions(_memberships(docs, pivots, n, t, rho), t))
-    top = _heavy(_windows(docs, n, t, rho, pivots, repeats, None, parts), parts, heavy, HEAVY_GRAMS)
-    pairs = kept(_candidates(_windows(docs, n, t, rho, pivots, repeats, top, parts), parts, t))
-    found.append(_verified(docs, pts, pairs, n, t))
-    return pts, kept(reduce(DataFrame.union, found).distinct())
+        told.append(_joined_regions(_memberships(docs, pivots, n, t, rho), t, room, whole))
+    top = _heavy(_windows(docs, n, t, rho, pivots, None, parts), parts, heavy, HEAVY_GRAMS)
+    pairs = kept(_candidates(_windows(docs, n, t, rho, pivots, top, parts), parts, t))
+    told.append(_verified(docs, found, pairs, n, t, whole))
+    return pts, found, kept(reduce(DataFrame.union, told))
 
 
 def join(docs: DataFrame, n: int = GRAM, t: float = THRESHOLD, **how) -> DataFrame:
     """(doc_a, doc_b, jaccard), doc_a < doc_b: all pairs of different sets by the first document that holds each, and each further document of a set with its first, at 1."""
-    pts, pairs = set_pairs(docs, n, t, **how)
-    first = pts.groupBy("set_id").agg(F.min("doc_id").alias("head"))
+    pts, found, pairs = linked(docs, True, n, t, **how)
+    first = found.select("set_id", "head")
     a, b = first.toDF("a", "doc_a"), first.toDF("b", "doc_b")
     near = pairs.join(a, "a").join(b, "b").select(F.least("doc_a", "doc_b").alias("doc_a"), F.greatest("doc_a", "doc_b").alias("doc_b"), "jaccard")
     same = pts.join(first, "set_id").select(F.col("head").alias("doc_a"), F.col("doc_id").alias("doc_b"), F.lit(1.0).alias("jaccard"))
     return near.union(same).filter("doc_a < doc_b").groupBy("doc_a", "doc_b").agg(F.round(F.max("jaccard"), 6).alias("jaccard"))
 
 
-def components(edges: DataFrame, driver: int = 1_000_000) -> DataFrame:
+def classes(docs: DataFrame, n: int = GRAM, t: float = THRESHOLD, **how) -> DataFrame:
+    """(doc_id, class_id, links) of each document: the lowest doc_id of all that are joined with it, directly or through others, and
+    its links: the other documents of its set and the other sets within reach.  A doc_id with several texts is one document with the links of all."""
+    pts, found, told = linked(docs, False, n, t, **how)
+    near = told.groupBy("set_id").agg(F.sum("near").alias("near"))
+    several = pts.groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    ties = pts.join(several, "doc_id", "left_semi").join(found, "set_id").select(F.col("doc_id").alias("a"), F.col("head").alias("b"))
+    root = components(told.select(F.col("head").alias("a"), F.col("root").alias("b")).union(ties)).select(F.col("v").alias("head"), "root")
+    info = found.join(near, "set_id", "left").join(root, "head", "left").select("set_id", F.coalesce("root", "head").alias("class_id"), (F.col("holders") - 1 + F.coalesce("near", F.lit(0))).alias("links"))
+    by = pts.join(info, "set_id").groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.sum("links").alias("links"))
+    every = docs.select(docs["doc_id"].cast("long").alias("doc_id")).filter("doc_id IS NOT NULL").distinct()
+    return every.join(by, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
+
+
+def components(edges: DataFrame, driver: int = 250_000) -> DataFrame:
     """(v, root) for each vertex of the edges (a, b): root is the least vertex of its component.
 
     Up to ``driver`` edges are joined on the driver; more in rounds, each of which hooks every
@@ -582,8 +706,7 @@ def _united(edges: pa.Table | None) -> dict:
 
 def one_of_each(docs: DataFrame, n: int = GRAM, t: float = THRESHOLD, **how) -> DataFrame:
     """The rows of ``docs``, all its columns, without those whose doc_id is joined, directly or through others, with a lower one; of several rows of one doc_id (or without one) that have the same set of grams, or the same text without a word, one stays."""
-    edges = join(docs.select("doc_id", "text"), n, t, **how)
-    drop = components(edges.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"))).filter("v <> root").select(F.col("v").alias("doc_id"))
+    drop = classes(docs.select("doc_id", "text"), n, t, **how).filter("class_id <> doc_id").select("doc_id")
     left = docs.join(small_or_shuffled(kept(drop), REPEATS), "doc_id", "left_anti")
     again = kept(docs.groupBy("doc_id").count().filter("count > 1").select("doc_id"))
     if again.isEmpty():
@@ -604,4 +727,4 @@ def one_of_each(docs: DataFrame, n: int = GRAM, t: float = THRESHOLD, **how) ->
 
 
 def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return join(read(spark, sf_dir, "documents"))
+    return classes(read(spark, sf_dir, "documents"))
