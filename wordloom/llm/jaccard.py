@@ -39,6 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ._links import LINKS, Tally, classes_of, components
 from ._spark import kept, read, small_or_shuffled, text_documents
 from ._text import hash_ngrams, hashed, mix
 
@@ -63,6 +64,7 @@ LEAF = 512
 ROOM, RINGS = 2_048, 10
 _FLUSH = 1_000_000
 _NONE = np.zeros(0, dtype=np.uint64)
+PAIRS = "a long, b long, jaccard double"
 _U = np.uint64
 
 
@@ -189,40 +191,6 @@ def _pivots(docs: DataFrame, found: DataFrame, n: int, dense: int, rho: float, r
     return _Pivots(got["set_id"].to_numpy()[chosen], [parts[q] for q in chosen])
 
 
-# ---------------------------------------------------------------- what a task tells of its pairs
-
-_LINKS = "set_id long, head long, near long, root long"
-_PAIRS = "a long, b long, jaccard double"
-
-
-class _Tally:
-    """Of points in the order of their heads: how many partners each has and the least head they lead to; or, if ``whole``, all pairs."""
-
-    def __init__(self, ids: np.ndarray, heads: np.ndarray, whole: bool):
-        self.ids, self.heads, self.whole, self.pairs = ids, heads, whole, []
-        self.near, self.label = np.zeros(len(ids), dtype=np.int64), np.arange(len(ids))
-
-    def add(self, q: int, j: np.ndarray, s: np.ndarray) -> None:
-        """Point q has the partners j; no pair may be told twice."""
-        if self.whole:
-            self.pairs.append((np.minimum(self.ids[q], self.ids[j]), np.maximum(self.ids[q], self.ids[j]), s))
-        elif len(j):
-            self.near[j] += 1
-            self.near[q] += len(j)
-            labels = np.unique(np.append(self.label[j], self.label[q]))
-            if len(labels) > 1:
-                to = np.arange(len(self.ids))
-                to[labels] = labels[0]
-                self.label = to[self.label]
-
-    def table(self) -> pa.Table:
-        if self.whole:
-            cols = zip(*self.pairs, (np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)))
-            return pa.table(dict(zip(("a", "b", "jaccard"), (np.concatenate(c) for c in cols))))
-        own = np.flatnonzero(self.near)
-        return pa.table({"set_id": self.ids[own], "head": self.heads[own], "near": self.near[own], "root": self.heads[self.label[own]]})
-
-
 def _by_head(table: pa.Table, names: list[str]):
     """The columns of a task's rows by (head, set_id), one row for each set."""
     x = table.select(names).to_pandas().sort_values(["head", "set_id"], kind="stable").drop_duplicates("set_id")
@@ -344,19 +312,19 @@ def _joined_regions(members: DataFrame, t: float, room: int, whole: bool) -> Dat
     def run(table: pa.Table) -> pa.Table:
         region, high = table["region"][0].as_py(), table["high"][0].as_py()
         ids, heads, homes, block, parts = _by_head(table, ["set_id", "head", "home", "block", "grams"])
-        tally, home, far = _Tally(ids, heads, whole), homes == region, np.where(homes < 0, np.iinfo(homes.dtype).max, homes)
+        tally, home, far = Tally(ids, heads, whole), homes == region, np.where(homes < 0, np.iinfo(homes.dtype).max, homes)
         if table["low"][0].as_py() == high:
             for i, j, s in region_pairs(parts, home, t):
                 ok = (far[j] > region) | ((homes[j] == region) & (i < j))  # of two regions that both have the pair, the lower one tells it
-                tally.add(i, j[ok], s[ok])
-            return tally.table()
+                tally.add(np.full(ok.sum(), i), j[ok], s[ok])
+            return tally.table("jaccard")
         size, other = np.array([len(p) for p in parts], dtype=np.int64), block == high
         for i, common in common_counts(parts, np.flatnonzero(~other)):
             j = np.flatnonzero(other & (np.minimum(far[i], far) == region) & (common >= t / (1 + t) * (size + size[i]) - 1e-9))
-            tally.add(i, j, common[j] / (size[j] + size[i] - common[j]))
-        return tally.table()
+            tally.add(np.full(len(j), i), j, common[j] / (size[j] + size[i] - common[j]))
+        return tally.table("jaccard")
 
-    return _blocks(kept(members), t, room).groupBy("region", "low", "high").applyInArrow(run, _PAIRS if whole else _LINKS)
+    return _blocks(kept(members), t, room).groupBy("region", "low", "high").applyInArrow(run, PAIRS if whole else LINKS)
 
 
 # ---------------------------------------------------------------- regions of gram pivots
@@ -603,21 +571,21 @@ def _verified(docs: DataFrame, found: DataFrame, pairs: DataFrame, n: int, t: fl
 
     def run(table: pa.Table) -> pa.Table:
         ids, heads, own, parts = _by_head(table, ["set_id", "head", "own", "grams"])
-        size, tally = np.array([len(p) for p in parts]), _Tally(ids, heads, whole)
+        size, tally = np.array([len(p) for p in parts]), Tally(ids, heads, whole)
         for q, common in common_counts(parts, np.flatnonzero(own)):
             s = common / (size + size[q] - common)
             j = np.flatnonzero((s >= t - 1e-12) & (ids > ids[q]))
-            tally.add(int(q), j, s[j])
-        return tally.table()
+            tally.add(np.full(len(j), q), j, s[j])
+        return tally.table("jaccard")
 
-    return held.groupBy("root", "block").applyInArrow(run, _PAIRS if whole else _LINKS)
+    return held.groupBy("root", "block").applyInArrow(run, PAIRS if whole else LINKS)
 
 
 # ---------------------------------------------------------------- the join
 
 
 def linked(docs: DataFrame, whole: bool, n: int = GRAM, t: float = THRESHOLD, rho: float = RHO, dense: int = DENSE, heavy: int = HEAVY, parts: int | None = None, room: int = ROOM) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The points, the different sets, and the pairs of sets: all of them (a, b, jaccard), or by set how many and where they lead (set_id, head, near, root)."""
+    """The points, the different sets, and the pairs of sets: all of them (a, b, jaccard), or by set how many and where they lead (id, head, near, root)."""
     if rho + 1 - t >= 1:
         raise ValueError("rho must be under t")
     docs = text_documents(docs).filter("doc_id IS NOT NULL AND text IS NOT NULL")
@@ -651,57 +619,9 @@ def classes(docs: DataFrame, n: int = GRAM, t: float = THRESHOLD, **how) -> Data
     """(doc_id, class_id, links) of each document: the lowest doc_id of all that are joined with it, directly or through others, and
     its links: the other documents of its set and the other sets within reach.  A doc_id with several texts is one document with the links of all."""
     pts, found, told = linked(docs, False, n, t, **how)
-    near = told.groupBy("set_id").agg(F.sum("near").alias("near"))
-    several = pts.groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    ties = pts.join(several, "doc_id", "left_semi").join(found, "set_id").select(F.col("doc_id").alias("a"), F.col("head").alias("b"))
-    root = components(told.select(F.col("head").alias("a"), F.col("root").alias("b")).union(ties)).select(F.col("v").alias("head"), "root")
-    info = found.join(near, "set_id", "left").join(root, "head", "left").select("set_id", F.coalesce("root", "head").alias("class_id"), (F.col("holders") - 1 + F.coalesce("near", F.lit(0))).alias("links"))
-    by = pts.join(info, "set_id").groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.sum("links").alias("links"))
-    every = docs.select(docs["doc_id"].cast("long").alias("doc_id")).filter("doc_id IS NOT NULL").distinct()
-    return every.join(by, "doc_id", "left").select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
-
-
-def components(edges: DataFrame, driver: int = 250_000) -> DataFrame:
-    """(v, root) for each vertex of the edges (a, b): root is the least vertex of its component.
-
-    Up to ``driver`` edges are joined on the driver; more in rounds, each of which hooks every
-    vertex to its least neighbour, follows the hooks to their ends and contracts.
-    """
-    spark = edges.sparkSession
-    edges = kept(edges.select("a", "b").filter("a <> b").distinct())
-    maps: list[DataFrame] = []
-    while (left := edges.count()) > driver:
-        both = edges.union(edges.select("b", "a"))
-        hook = kept(both.groupBy(F.col("a").alias("v")).agg(F.least(F.min("a"), F.min("b")).alias("to")))
-        while True:
-            further = kept(hook.join(hook.toDF("to", "next"), "to").select("v", F.col("next").alias("to"), (F.col("next") < F.col("to")).alias("moved")))
-            hook = further.select("v", "to")
-            if further.filter("moved").isEmpty():
-                break
-        maps.append(hook)
-        edges = edges.join(hook.toDF("a", "ra"), "a").join(hook.toDF("b", "rb"), "b")
-        edges = kept(edges.select(F.col("ra").alias("a"), F.col("rb").alias("b")).filter("a <> b").distinct())
-    out = spark.createDataFrame(pa.table(_united(edges.toArrow() if left else None)), "v long, root long")
-    for m in reversed(maps):
-        out = m.join(out.toDF("to", "root"), "to", "left").select("v", F.coalesce("root", "to").alias("root"))
-    return out
-
-
-def _united(edges: pa.Table | None) -> dict:
-    if edges is None:
-        return {"v": pa.array([], pa.int64()), "root": pa.array([], pa.int64())}
-    v, at = np.unique(np.concatenate([edges["a"].to_numpy(), edges["b"].to_numpy()]), return_inverse=True)
-    a, b = at[: edges.num_rows], at[edges.num_rows :]
-    root = np.arange(len(v))
-    while True:
-        least = np.minimum(root[a], root[b])
-        was = root.copy()
-        np.minimum.at(root, root[a], least)
-        np.minimum.at(root, root[b], least)
-        while (root[root] != root).any():
-            root = root[root]
-        if (root == was).all():
-            return {"v": pa.array(v), "root": pa.array(v[root])}
+    every = docs.select(docs["doc_id"].cast("long").alias("id")).filter("id IS NOT NULL")
+    points = found.select(F.col("set_id").alias("id"), "head", "holders")
+    return classes_of(pts.select(F.col("doc_id").alias("member"), F.col("set_id").alias("id")), points, told, every).withColumnRenamed("id", "doc_id")
 
 
 def one_of_each(docs: DataFrame, n: int = GRAM, t: float = THRESHOLD, **how) -> DataFrame:
