@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from wordloom import functions as fn
 from wordloom.operators import history, lexicon, ngrams, suggest, validate
-from wordloom.sources import corpus, parse_combined, parse_phrases, read_history, read_model, wordlist, write_history, write_model, write_report
-from wordloom.streaming import bigram_stream, history_state, learn_stream
+from wordloom.sources import corpus, numbered_lines, parse_combined, parse_phrases, read_history, read_lexicon, read_model, read_vocabulary, wordlist, write_history, write_lexicon, write_model, write_report
+from wordloom.streaming import bigram_stream, history_state, learn_batch, learn_stream, track_stream
 
 NOW = 1_706_745_600
 
@@ -156,6 +156,82 @@ def test_model_files(spark, tmp_path):
     assert pd.concat(pd.read_csv(f) for f in (tmp_path / "csv").glob("*.csv"))["s"].tolist() == ['say "a, b"']
 
 
+def test_saved_lexicon_and_line_numbers(spark, tmp_path):
+    lex = lexicon.build_lexicon(spark.createDataFrame([("b", 3), ("a", 0), ("é", 2)], "word string, prob int"))
+    write_lexicon(lex, str(tmp_path / "l"))
+    assert sorted(read_lexicon(spark, str(tmp_path / "l")).collect()) == sorted(lex.collect())
+    assert sorted(map(tuple, read_vocabulary(spark, str(tmp_path / "l" / "vocab")).collect())) == [(0, "a"), (1, "b"), (2, "é")]
+    folder = tmp_path / "lines"
+    folder.mkdir()
+    want = [f"line {k}" * (k % 5 != 0) for k in range(5000)]
+    (folder / "a.txt").write_text("\n".join(want[:3000]) + "\n")
+    (folder / "b.txt").write_text("\n".join(want[3000:]))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        got = [r.line for r in numbered_lines(spark, str(folder)).orderBy("line_no").collect()]
+        assert got == want and numbered_lines(spark, str(folder)).agg(F.max("line_no")).first()[0] == 4999
+        assert {r.text for r in corpus(spark, str(folder), limit_millions=1).collect()} == set(want)
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    got = lexicon.phrases(parse_phrases(spark.createDataFrame([(0, '{"text": "A b", "source": "x"}'), (1, " "), (2, '{"text": "a b", "source": "y"}'), (3, '{"text": "c", "source": "z"}')], "line_no long, line string")))
+    assert {r.text: r.word_id for r in got.collect()} == {"a b": 0, "c": 3}
+
+
+def test_index_and_display(spark):
+    vocab = spark.createDataFrame([(k, f"w{k}") for k in range(6)], "word_id long, word string")
+    t = spark.createDataFrame([(1, 2, 1), (1, 9, 2), (4, 0, 1)], "prev_id long, next_id long, rank int")
+    assert sorted(map(tuple, ngrams.edge_index(vocab, t).collect())) == [(0, 0, 0), (1, 0, 2), (2, 16, 0), (3, 16, 0), (4, 16, 1), (5, 24, 0)]
+    assert sorted((r.next_id, r.next_word) for r in lexicon.named(t, vocab).collect()) == [(0, "w0"), (2, "w2"), (9, "<unknown>")]
+    assert lexicon.named(t, vocab, unknown=None).count() == 2
+    starts = spark.createDataFrame([("",), ("w",), ("w1",), ("x",), ("w1",), (None,)], "start string")
+    assert {r.start: r.matches for r in lexicon.prefix_counts(vocab, starts).collect()} == {"": 6, "w": 6, "w1": 1, "x": 0}
+
+
+def test_a_batch_that_is_run_again_replaces_itself(spark, tmp_path):
+    path, known = str(tmp_path / "h"), _known(spark)
+    batches = [_said(spark, "gox hello world"), _said(spark, "gox gox new"), _said(spark, "world new newer")]
+    state = lambda: [sorted(map(tuple, x.collect())) for x in history_state(spark, path)]
+    for n, b in enumerate(batches):
+        learn_batch(b, n, known, path, every=2)
+        once = state()
+        learn_batch(b, n, known, path, every=2)
+        assert state() == once
+    for n in (1, 2):  # from the middle on
+        learn_batch(batches[n], n, known, path, every=2)
+    assert state() == once
+    assert {(w, f) for _, w, _, f, _, _ in once[0]} == {("gox", 3), ("new", 2), ("newer", 1)}
+
+
+def test_snapshots_are_pruned(spark, tmp_path):
+    path = str(tmp_path / "h")
+    learn_batch(_said(spark, *(["hello my"] * 3 + ["hello name", "hello is", "hello hello"])), 0, _known(spark), path, every=1, over=3, keep=1)
+    assert [(r.prev_id, r.next_id, r["count"]) for r in history_state(spark, path)[1].collect()] == [(100, 102, 3)]
+
+
+def test_tracked_stream_is_bounded(spark, tmp_path):
+    src = str(tmp_path / "uses")
+    uses = [(1, 5, 7, NOW)] * 3 + [(1, 5, k, NOW + k) for k in range(10, 15)] + [(2, 5, 7, NOW)]
+    spark.createDataFrame(uses, "user_id long, prev_id long, next_id long, now long").coalesce(1).write.parquet(src)
+    stream = track_stream(spark.readStream.schema("user_id long, prev_id long, next_id long, now long").parquet(src), over=4, keep=2)
+    q = stream.writeStream.outputMode("update").format("memory").queryName("tracked").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    q.awaitTermination()
+    got = {(r.user_id, r.next_id): r["count"] for r in spark.table("tracked").collect()}
+    # the fifth successor of user 1 leaves the two best, which the last one joins
+    assert got == {(1, 7): 3, (1, 10): 1, (1, 14): 1, (2, 7): 1} or got == {(1, 7): 3, (1, 13): 1, (1, 14): 1, (2, 7): 1}
+
+
+def test_history_update_and_lookup(spark):
+    none = spark.createDataFrame([], history.WORD), spark.createDataFrame([], history.EDGE)
+    words, edges = history.update(*none, _said(spark, "hello gox", "gox gox"), _known(spark), NOW)
+    assert {(r.prev_id, r.next_id): r["count"] for r in edges.collect()} == {(100, history.FIRST_ID): 1, (history.FIRST_ID, history.FIRST_ID): 1}
+    found = history.lookup(words, spark.createDataFrame([(1, "gox"), (1, "no")], "user_id long, word string")).collect()
+    assert {(r.word, r.word_id) for r in found} == {("gox", history.FIRST_ID), ("no", None)}
+    assert history.lookup(words, spark.createDataFrame([(1, history.FIRST_ID)], "user_id long, word_id long")).first().word == "gox"
+    full = spark.createDataFrame([(1, "w", 5, 4294967295, 4294967295, NOW)], history.WORD)
+    taken = history.accept(full, spark.createDataFrame([(1, 5, NOW + 1)], "user_id long, word_id long, now long")).first()
+    assert (taken.freq, taken.accept) == (4294967295, 4294967295)
+
+
 def _said(spark, *texts):
     return spark.createDataFrame([(1, k, NOW + k, t) for k, t in enumerate(texts)], "user_id long, seq long, now long, text string")
 

@@ -87,6 +87,18 @@ def pruned(edges: DataFrame, now: int, over: int = 2000, keep: int = 40) -> Data
     return own.filter((F.col("_n") <= over) | (F.col("_r") <= keep)).drop("_n", "_r")
 
 
+def update(words: DataFrame, edges: DataFrame, messages: DataFrame, known: DataFrame, now: int) -> tuple[DataFrame, DataFrame]:
+    """(words, edges) after the messages: what they add is merged in, and contexts that have grown too wide at ``now`` are pruned."""
+    more, new = learn(messages, known, words.select("user_id", "word", "word_id"))
+    return merge_words(words, more), pruned(merge_edges(edges, new), now)
+
+
+def lookup(words: DataFrame, keys: DataFrame) -> DataFrame:
+    """(key columns, word, word_id) of ``keys``: by (user_id, word) or (user_id, word_id); those without a private word have nulls."""
+    by = [c for c in ("user_id", "word", "word_id") if c in keys.columns]
+    return keys.join(words.select("user_id", "word", "word_id"), by, "left")
+
+
 def prefix(words: DataFrame, start: str, now: int, limit: int = 10) -> DataFrame:
     """(user_id, word, word_id, score, rank): each user's private words that begin with ``start``, normalized; none if nothing is left of it."""
     one = words.sparkSession.createDataFrame([(0, 0, 0, start)], "user_id long, seq long, now long, text string")

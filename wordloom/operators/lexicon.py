@@ -86,6 +86,16 @@ def prefix(lexicon: DataFrame, start: str, limit: int | None = 10) -> DataFrame:
 
 
 def prefix_counts(lexicon: DataFrame, starts: DataFrame) -> DataFrame:
-    """(start, matches) for each of a few prefixes (column ``start``)."""
-    own = F.broadcast(starts.select("start").distinct())  # prefixes that someone typed
-    return own.join(lexicon, F.col("word").startswith(F.col("start")), "left").groupBy("start").agg(F.count("word").alias("matches"))
+    """(start, matches) for each prefix (column ``start``): words are cut to the lengths that prefixes have, and counted before they meet them."""
+    own = starts.select("start").filter("start IS NOT NULL").distinct()
+    lengths = sorted(r[0] for r in own.select(F.length("start")).distinct().collect())  # as many as the longest prefix has letters
+    cuts = F.filter(F.array(*[F.when(F.length("word") >= n, F.substring("word", 1, n)) for n in lengths] or [F.lit(None).cast("string")]), lambda x: x.isNotNull())
+    counts = lexicon.select(F.explode(cuts).alias("start")).groupBy("start").agg(F.count("*").alias("n"))
+    return own.join(counts, "start", "left").select("start", F.coalesce("n", F.lit(0)).alias("matches"))
+
+
+def named(table: DataFrame, lexicon: DataFrame, of: str = "next_id", to: str = "next_word", unknown: str | None = "<unknown>") -> DataFrame:
+    """``table`` with the word of each id; ids that ``lexicon`` lacks show ``unknown``, or go if that is None."""
+    own = lexicon.select(F.col("word_id").alias(of), F.col("word").alias(to))
+    out = table.join(own, of, "inner" if unknown is None else "left")
+    return out if unknown is None else out.withColumn(to, F.coalesce(to, F.lit(unknown)))

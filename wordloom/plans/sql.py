@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from .catalog import COMBINED_LINES, MAX_PAIRS, NOW, PROBES, TOP_N
+from .catalog import COMBINED_LINES, NOW, PROBES
+from .model import MAX_PAIRS, TOP_N
 
+_BOOST_VI = "('là','của','và','có','những','trong','được','một','cho','với')"
 _BOOST = "('to','for','are','is','of','the','a','in','on','that')"
 
 LINES = "lines AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS line_no, unnest(string_split(text, chr(10))) AS line FROM documents)"
@@ -49,23 +51,24 @@ BIGRAM = f"bigram AS ({weighted('pair_ids', 'prev_id', 'next_id')})"
 TRIGRAM = f"trigram AS ({weighted('(SELECT * FROM tri_ids SEMI JOIN top_pairs USING (w1, w2))', 'w1, w2', 'next_id')})"
 
 
-def suggested(queries: str, keys: str, tri: bool, gated: bool, lower: bool = False) -> str:
+def suggested(queries: str, keys: str, tri: bool, gated: bool | str, lower: bool = False, syllable: bool = False) -> str:
     hits = "SELECT c.*, 'Bigram' AS model_used, next_id, rank, weight FROM ctx c JOIN bigram b ON b.prev_id = c.b2"
     if tri:
         hits = "SELECT c.*, 'Trigram' AS model_used, next_id, rank, weight FROM ctx c JOIN trigram t ON t.w1 = c.b1 AND t.w2 = c.b2 UNION ALL " + hits + " WHERE NOT EXISTS (SELECT 1 FROM trigram t WHERE t.w1 = c.b1 AND t.w2 = c.b2)"
-    first = f"CASE WHEN word IN {_BOOST} THEN 0 ELSE 1 END" if gated else "0"
+    first = f"CASE WHEN word IN {gated if isinstance(gated, str) else _BOOST} THEN 0 ELSE 1 END" if gated else "0"
+    token, lex = ("lower(x)", "(SELECT lower AS word, word_id FROM names) lex") if syllable else ("regexp_replace(lower(x), '[^\\p{L}'']', '', 'g')", "lex")
     shown = "lower(word)" if lower else "word"
     return f"""asked AS ({queries}),
-cut AS (SELECT {keys}, text, list_transform(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> ''), lambda x: regexp_replace(lower(x), '[^\\p{{L}}'']', '', 'g')) AS l FROM asked),
+cut AS (SELECT {keys}, text, list_transform(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> ''), lambda x: {token}) AS l FROM asked),
 ctx AS (SELECT {keys}, text, b.word_id AS b2, a.word_id AS b1 FROM cut LEFT JOIN names b ON b.lower = l[-1] LEFT JOIN names a ON len(l) > 1 AND a.lower = l[-2]),
 hits AS ({hits}),
-placed AS (SELECT {keys}, text, model_used, row_number() OVER (PARTITION BY {keys} ORDER BY {first}, rank) AS place, {shown} AS word, weight FROM hits JOIN lex ON lex.word_id = next_id),
+placed AS (SELECT {keys}, text, model_used, row_number() OVER (PARTITION BY {keys} ORDER BY {first}, rank) AS place, {shown} AS word, weight FROM hits JOIN {lex} ON lex.word_id = next_id),
 answers AS (SELECT {keys}, model_used, place::INT AS rank, word, weight, floor(weight / 65535.0::DOUBLE * 100)::INT AS confidence, text || ' ' || word AS completed FROM placed WHERE place <= 5)"""
 
 
-TURNS = "SELECT conv_id, turn, text FROM conversations WHERE role = 'user'"
+TURNS = "SELECT conv_id, turn, text FROM conversations"
 STEPS = """steps AS (SELECT conv_id, turn, step::INT AS step, array_to_string(l[1:step], ' ') AS context, l[step] AS last_word FROM
- (SELECT conv_id, turn, l, unnest(range(1, len(l))) AS step FROM (SELECT conv_id, turn, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS l FROM conversations WHERE role = 'user')))"""
+ (SELECT conv_id, turn, l, unnest(range(1, len(l))) AS step FROM (SELECT conv_id, turn, list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '') AS l FROM conversations)))"""
 _SCORE = "floor(least(65535.0::DOUBLE, greatest(0.0::DOUBLE, {x})))::INT"
 _DECAYED = f"pow(2.0::DOUBLE, -greatest({NOW} - last_used, 0) / {{h}}::DOUBLE)"
 WORD_SCORE = _SCORE.format(x=f"ln(1 + freq * {_DECAYED.format(h=1209600)}) * 10000 + {{a}} * 3000")
@@ -122,14 +125,28 @@ ORACLES = {
     "exact_lookup": f"WITH {RAW}, {LEXICON} SELECT key, word, word_id, prob, flags FROM (VALUES {_KEYS}) t(key) LEFT JOIN lex ON word = key",
     "first_lookup": f"WITH {RAW}, {LEXICON}, f AS (SELECT lower(word) AS low, min(word_id) AS i FROM lex GROUP BY 1) SELECT key, word, word_id, prob, flags FROM (VALUES {_KEYS}) t(key) LEFT JOIN f ON low = key LEFT JOIN lex ON word_id = i",
     "history_word_score": f"""WITH w AS (SELECT user_id, sum(CASE WHEN event_type = 'purchase' THEN 3 ELSE 1 END)::BIGINT AS freq, sum(CASE WHEN event_type = 'purchase' THEN 1 ELSE 0 END)::BIGINT AS accept, max(floor(epoch(ts))::BIGINT) AS last_used
- FROM events WHERE event_type IN ('view', 'purchase') GROUP BY user_id) SELECT *, {WORD_SCORE.format(a='accept')} AS score, {WORD_SCORE.format(a='0')} AS base_score FROM w""",
+ FROM events GROUP BY user_id) SELECT *, {WORD_SCORE.format(a='accept')} AS score, {WORD_SCORE.format(a='0')} AS base_score FROM w""",
     "history_edge_score": f"WITH {EDGES} SELECT *, {EDGE_SCORE} AS score FROM edges",
-    "history_predict": f"""WITH {EDGES}, s AS (SELECT *, {EDGE_SCORE} AS score FROM edges), r AS (SELECT user_id, prev_id, next_id, score, row_number() OVER (PARTITION BY user_id, prev_id ORDER BY score DESC, next_id)::INT AS rank FROM s) SELECT * FROM r WHERE rank <= 3""",
+    "history_predict": f"""WITH {EDGES}, s AS (SELECT *, {EDGE_SCORE} AS score FROM edges), r AS (SELECT user_id, prev_id, next_id, score, row_number() OVER (PARTITION BY user_id, prev_id ORDER BY score DESC, next_id)::INT AS rank FROM s) SELECT * FROM r WHERE rank <= 20""",
     "history_learn_words": f"{LEARNED} SELECT * FROM user_word",
     "history_learn_edges": f"{LEARNED} SELECT * FROM user_edge",
     "history_prefix": f"""{LEARNED}, s AS (SELECT user_id, word, word_id, {WORD_SCORE.format(a='accept')} AS score FROM user_word WHERE starts_with(word, 'th')),
  r AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, word)::INT AS rank FROM s) SELECT * FROM r WHERE rank <= 10""",
-    "val_integrity": f"WITH {RAW}, {LEXICON} SELECT count(*) AS words, 0::BIGINT AS wrong, count(*) - count(DISTINCT word_id) AS shared_ids FROM lex",
+    "val_integrity": f"""WITH {RAW}, {LEXICON} 
+ SELECT count(*) AS words, count(*) FILTER (b.word IS DISTINCT FROM a.word) AS wrong, (SELECT count(*) - count(DISTINCT word_id) FROM lex) AS shared_ids FROM (SELECT *, ({PACKED} >> 16) AS packed_id FROM lex) a LEFT JOIN lex b ON b.word_id = a.packed_id""",
+    "suggest_syllable": f"WITH {toks('syllable')}, {SYLLABLES}, {PAIRS}, {IDS}, {BIGRAM}, {suggested(TURNS, 'conv_id, turn', False, False, syllable=True)} SELECT * FROM answers",
+    "suggest_syllable_gated": f"WITH {toks('syllable')}, {SYLLABLES}, {PAIRS}, {IDS}, {TRI}, {BIGRAM}, {TRIGRAM}, {suggested(TURNS, 'conv_id, turn', True, _BOOST_VI, syllable=True)} SELECT * FROM answers",
+    "bigram_index": f"{BASE}, {BIGRAM}, {LENGTHS} SELECT word_id, (coalesce(sum(len) OVER (ORDER BY word_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) * 8)::BIGINT AS \"offset\", len FROM lens",
+    "bigram_display": f"{BASE}, {BIGRAM} SELECT prev_id, rank, next_id, coalesce(word, '<unknown>') AS next_word, weight FROM bigram LEFT JOIN (SELECT word_id, word FROM lex WHERE prob > 1) ON word_id = next_id",
+    "phrase_file": """WITH l AS (SELECT p_name, p_partkey, row_number() OVER (ORDER BY p_partkey) - 1 AS line_no FROM part)
+ SELECT lower(trim(p_name)) AS text, min(line_no) AS word_id, 128 AS prob, 0 AS flags FROM l WHERE trim(p_name) <> '' AND (p_partkey - 1) % 7 <> 6 GROUP BY 1""",
+    "history_accept": f"""{LEARNED}, a AS (SELECT user_id, id AS word_id, count(*) AS k, max(now) AS used FROM ided WHERE private AND pos = 1 GROUP BY ALL)
+ SELECT w.user_id, word, w.word_id, least(freq + 3 * coalesce(k, 0), 4294967295)::BIGINT AS freq, least(accept + coalesce(k, 0), 4294967295)::BIGINT AS accept, greatest(last_used, used) AS last_used FROM user_word w LEFT JOIN a ON a.user_id = w.user_id AND a.word_id = w.word_id""",
+    "history_merge": f"{LEARNED} SELECT user_id, word, word_id, least(freq + freq * 3000000000, 4294967295)::BIGINT AS freq, accept, last_used FROM user_word",
+    "history_prune": f"""WITH {EDGES}, s AS (SELECT *, {EDGE_SCORE} AS score FROM edges), r AS (SELECT *, count(*) OVER w AS n, row_number() OVER (PARTITION BY user_id, prev_id ORDER BY score DESC, next_id) AS r FROM s WINDOW w AS (PARTITION BY user_id, prev_id))
+ SELECT user_id, prev_id, next_id, "count", last_used FROM r WHERE n <= 3 OR r <= 2""",
+    "history_lookup": f"{LEARNED} SELECT user_id, word, word_id FROM user_word WHERE word IN ({', '.join(repr(w) for w in PROBES)})",
+    "stream_tracked": f"WITH {EDGES} SELECT * FROM edges",
     "val_invariants": f"""{BASE}, {BIGRAM}, o AS (SELECT *, weight > lag(weight) OVER (PARTITION BY prev_id ORDER BY rank) AS up FROM bigram)
  SELECT count(*) AS edges, count(*) FILTER (up) AS order_errors, count(*) - count(DISTINCT (prev_id, next_id)) AS repeated_successors, count(*) FILTER (rank > {TOP_N}) AS rank_errors,
  count(*) FILTER (prev_id >= (SELECT count(*) FROM lex) OR next_id >= (SELECT count(*) FROM lex)) AS range_errors FROM o""",
@@ -139,3 +156,8 @@ ORACLES = {
  SELECT l[1 + floor(len(l) * 0.1::DOUBLE)::INT] AS p10, l[1 + len(l) // 2] AS median, l[1 + floor(len(l) * 0.9::DOUBLE)::INT] AS p90 FROM s""",
     "val_probe": f"""{BASE}, {BIGRAM} SELECT key, n.word AS next_word, cnt, rank, weight FROM (VALUES {_KEYS}) t(key) LEFT JOIN names ON names.lower = key LEFT JOIN bigram ON prev_id = names.word_id LEFT JOIN lex n ON n.word_id = next_id""",
 }
+ORACLES |= {new: ORACLES[old] for new, old in (
+    ("lexicon_saved", "lexicon_build"), ("bigram_saved", "bigram_ids"), ("trigram_saved", "trigram_topn"), ("wordlist_file", "combined_parse"), ("corpus_file", "bigram_counts"), ("report_file", "batch_report"),
+    ("history_saved", "history_learn_edges"), ("stream_bigrams", "bigram_counts"), ("stream_learn", "history_learn_edges"),
+)}
+ORACLES["vocabulary_saved"] = f"WITH {RAW}, {LEXICON} SELECT word_id, word FROM lex"

@@ -1,5 +1,5 @@
-"""Structured Streaming versions of the builders."""
+"""Streams of texts, messages and uses."""
 
-from .builders import bigram_stream, history_state, learn_stream
+from .builders import bigram_stream, history_state, learn_batch, learn_stream, track_stream
 
-__all__ = ["bigram_stream", "history_state", "learn_stream"]
+__all__ = ["bigram_stream", "history_state", "learn_batch", "learn_stream", "track_stream"]
