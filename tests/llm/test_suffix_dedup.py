@@ -76,3 +76,16 @@ def test_deep_shallow_order():
     for p in at.tolist():
         trie.insert(p)
     assert [tuple(words[leaf[0] : leaf[0] + width]) for leaf in trie.leaves()] == sorted(by)
+
+
+def test_multikey_quicksort_is_a_sort():
+    r = np.random.default_rng(8)
+    for alphabet, n, depth in ((2, 500, 6), (50, 900, 3), (1, 40, 4), (2**32, 300, 8), (3, 1, 5), (3, 0, 5)):
+        words = r.integers(0, alphabet, 1200, dtype=np.uint64).astype(np.uint32)
+        at, group = r.integers(0, 1100, n), r.integers(0, 3, n)
+        order, got = S.multikey(words, at, group, depth)
+        key = [(int(group[i]), *words[at[i] : at[i] + depth].tolist()) for i in range(n)]
+        want = sorted(key)
+        want = [k for k in want if want.count(k) > 1]
+        assert [key[i] for i in order.tolist()] == want
+        assert got.tolist() == [sorted(set(want)).index(k) for k in want]

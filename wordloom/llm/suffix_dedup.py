@@ -176,18 +176,40 @@ def _words(docs: DataFrame, shared: DataFrame, width: int, parts: int) -> DataFr
 
 
 def multikey(words: np.ndarray, at: np.ndarray, group: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
-    """Order suffixes (their places in ``words``) by group and their first ``depth`` words; (order, group of each in that order).  Suffixes that are alone in their group drop out."""
-    order = np.arange(len(at))
-    for d in range(depth):
-        w = words[at[order] + d]
-        by = np.lexsort((w, group))
-        order, w, group = order[by], w[by], group[by]
-        new = np.ones(len(order), dtype=bool)
-        new[1:] = (group[1:] != group[:-1]) | (w[1:] != w[:-1])
-        group = np.cumsum(new) - 1
-        many = np.bincount(group, minlength=1)[group] > 1
-        order, group = order[many], group[many]
-    return order, group
+    """Multikey quicksort of suffixes (their places in ``words``) by group and their first ``depth`` words; (order, group of each in that order).
+
+    A segment is split three ways by its pivot's word at the depth that it has reached: less, equal, which goes one word
+    deeper, and greater.  All segments are split at once, round by round; those of one suffix drop out, those that
+    have reached ``depth`` are done.
+    """
+    order = np.argsort(group, kind="stable")
+    segment = group[order]
+    level = np.zeros(len(order), dtype=np.int64)
+    place = np.searchsorted(segment, segment)  # where an element's segment begins in the sorted whole
+    done: list[tuple[np.ndarray, np.ndarray]] = []
+    while True:
+        begin = np.flatnonzero(np.append(True, place[1:] != place[:-1])) if len(place) else np.zeros(0, np.int64)
+        size = np.diff(np.append(begin, len(place)))
+        ended = np.repeat((size == 1) | (level[begin] == depth), size)
+        full = np.repeat((size > 1) & (level[begin] == depth), size)
+        done.append((order[full], place[full]))
+        order, level, place = order[~ended], level[~ended], place[~ended]
+        if not len(order):
+            break
+        begin = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
+        size = np.diff(np.append(begin, len(place)))
+        word = words[at[order] + level]
+        three = np.sort(np.stack([word[begin], word[begin + size // 2], word[begin + size - 1]]), axis=0)
+        pivot = np.repeat(three[1], size)
+        side = (word >= pivot).astype(np.int8) + (word > pivot)
+        by = np.argsort(np.repeat(np.arange(len(begin)), size) * 3 + side, kind="stable")
+        less, same = np.add.reduceat(side == 0, begin), np.add.reduceat(side == 1, begin)
+        order, level, place, side = order[by], level[by], place[by], side[by]
+        place = place + np.where(side > 0, np.repeat(less, size), 0) + np.where(side > 1, np.repeat(same, size), 0)
+        level = level + (side == 1)
+    order, place = (np.concatenate(x) for x in zip(*done))
+    by = np.argsort(place, kind="stable")
+    return order[by], np.unique(place[by], return_inverse=True)[1]
 
 
 class BlindTrie:
