@@ -5,7 +5,7 @@ byte and word counts.  Two classifiers (low quality, toxic) are trained on the
 driver from at most ``max_train`` labelled rows (those of lowest hash of doc_id:
 a documented bound; everything else covers all data).  One statistic is the
 share of words in a lexicon, which is itself fitted on those labelled rows: the
-words and word beginnings whose document frequency is far higher among positives.  Trained trees
+LEXICON_WORDS words and word beginnings that tell most of those whose document frequency is far higher among positives.  Trained trees
 are flattened into arrays (feature, bin threshold, left child, leaf value) that
 whole batches of documents traverse together in numpy.
 
@@ -13,7 +13,8 @@ Defined results: a null or empty text has all statistics 0, both scores null and
 not kept; repeated rows are scored alike; an empty table gives an empty result; a
 document labelled twice counts with its lowest quality and highest toxicity; labels
 that are null are not trained on; without labels of both kinds a score is 0 (nothing
-is rejected).  Whole texts are read whatever their length.
+is rejected).  A row without a doc_id is scored like any other, a label without one is not used.  Whole texts are read
+whatever their length; other columns are not looked at, and :func:`kept_documents` returns them as they are.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import read, text_documents
+from ._spark import kept, read, text_documents
 from ._text import chunks, fold, hash_words, hashed, mix, word_bounds
 
 #: labelled rows that are trained on, at most
@@ -221,7 +222,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(max_train)
     )
-    text = text_documents(docs).join(F.broadcast(labelled), "doc_id")  # at most max_train rows
+    text = kept(text_documents(docs).join(F.broadcast(labelled), "doc_id"))  # at most max_train rows, read from documents once
 
     def words(batches):
         for batch in batches:
@@ -240,7 +241,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(np.repeat(q, size).astype(np.int32)), pa.array(np.repeat(t, size).astype(np.int32))], ["h", "q", "t"])
 
     sizes = text.agg(F.count("*").alias("n"), F.sum(1 - F.col("q")).alias("low"), F.sum("t").alias("toxic")).first()
-    df = text.mapInArrow(words, "h long, q int, t int").groupBy("h").agg(F.count("*").alias("n"), F.sum(1 - F.col("q")).alias("low"), F.sum("t").alias("toxic"))
+    df = kept(text.mapInArrow(words, "h long, q int, t int").groupBy("h").agg(F.count("*").alias("n"), F.sum(1 - F.col("q")).alias("low"), F.sum("t").alias("toxic")).filter("low >= 5 OR toxic >= 5"))
     lexicons = []
     for kind in ("low", "toxic"):
         pos, neg = sizes[kind] or 0, sizes["n"] - (sizes[kind] or 0)
