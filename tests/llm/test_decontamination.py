@@ -106,8 +106,8 @@ def test_long_items_with_edits_of_one_kind():
         texts = [[*rng.integers(1, 2**63, 30, dtype=np.uint64), *D.edited(w, D.allowed(length), rng, (kind,)), *rng.integers(1, 2**63, 30, dtype=np.uint64)] for w in items for kind in (0, 1, 2)]
         index, h, first = D.Index(list(range(10)), items), np.array(sum(texts, []), dtype=np.uint64), np.concatenate([[0], np.cumsum([len(t) for t in texts])])
         doc, item, diag = index.windows(h, first)
-        ok = index.collide(h, first, doc, item, diag)
-        assert {(d, i) for d, i in zip(doc[ok].tolist(), item[ok].tolist())} >= {(d, d // 3) for d in range(30)}
+        doc, item, diag = index.candidates(h, first, doc, item, diag)
+        assert {(d, i) for d, i in zip(doc.tolist(), item.tolist())} >= {(d, d // 3) for d in range(30)}
 
 
 def test_a_missed_target_is_not_accepted(monkeypatch):
@@ -115,3 +115,24 @@ def test_a_missed_target_is_not_accepted(monkeypatch):
     items = [rng.integers(1, 2**63, 50, dtype=np.uint64) for _ in range(5)]
     monkeypatch.setattr(D, "WALKS_MOST", 1)
     assert D.walks_needed(items) is None and not D.Index([1], items[:1]).walks
+
+
+def test_passes_find_what_one_pass_finds(spark, monkeypatch):
+    docs, bench = spark.read.parquet("/root/testdata/sf0.001/documents.parquet"), spark.read.parquet("/root/testdata/sf0.001/benchmark.parquet")
+    bench = bench.union(spark.createDataFrame([(900, None), (901, ""), (None, "no id")], bench.schema))
+    one = sorted(map(tuple, D.leaks(docs, bench).collect()))
+    clean = sorted(r.doc_id for r in D.clean_documents(docs, bench).collect())
+    monkeypatch.setattr(D, "ITEMS_AT_ONCE", 15)
+    assert sorted(map(tuple, D.leaks(docs, bench).collect())) == one and len(one) > 0
+    assert sorted(r.doc_id for r in D.clean_documents(docs, bench).collect()) == clean
+
+
+def test_windows_find_other_items_of_their_bucket():
+    rng = np.random.default_rng(9)
+    a = rng.integers(1, 2**63, 40, dtype=np.uint64)
+    b = D.edit(a, 3, rng)
+    text = np.concatenate([rng.integers(1, 2**63, 20, dtype=np.uint64), a, rng.integers(1, 2**63, 20, dtype=np.uint64)])
+    index, first = D.Index([1, 2], [a, b]), np.array([0, len(text)])
+    doc, item, diag = index.windows(text, first)
+    own = item == 0
+    assert set(index.candidates(text, first, doc[own], item[own], diag[own])[1].tolist()) == {0, 1}

@@ -6,15 +6,17 @@ word edits (insert, delete, substitute) of the item.
 1. *Windows.*  An item-sized window can only match if it has the q-grams that the
    pigeonhole principle leaves untouched by k edits: one exact run of
    ``ceil((L - k) / (k + 1))`` words, and ``L - q + 1 - k q`` q-grams within k diagonals.  All
-   windows of all documents are held against this; it loses no match.
+   windows of all documents are held against this; it loses no match, and only the windows that pass are embedded (embedding
+   all windows of each item length would take some thousand times the time).
 2. *CGK random walks* map each window and item to strings of which the Hamming
    distance follows the edit distance: at step j the walk writes the word it is on, and goes on
    if a random function of (j, word) says so.
-3. *Bit sampling.*  Each of R walks is sampled at a few steps; a window goes on with an
-   item if any of its R signatures is equal to the item's.  R is set for each item length so that
+3. *Bit sampling.*  Each of R walks is sampled at a few steps; a window looks its R signatures up in the buckets of the items of its
+   length, and all items that it finds are candidates.  R is set for each item length so that
    items with the most edits allowed, of one kind or mixed, collide at one of their windows with
-   probability TARGET (measured on the items, fixed seed).  Where WALKS_MOST walks do not reach it, and over
-   LONGEST words, all windows go on.
+   probability TARGET (measured on a sample of at most TRIALS items of the length, fixed seed, a miss counted as a miss).  Where
+   WALKS_MOST walks do not reach it, and over
+   LONGEST words, nothing is sampled: all windows that pass 1 are candidates.
 4. *Verification.*  Bit-parallel edit distance of the item to the best run around the window.
 
 Defined results: null, empty and wordless texts leak nothing; items without words and
@@ -31,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._spark import read, text_documents
+from ._spark import kept, read, text_documents
 from ._text import hash_ngrams, hashed, mix
 from .jaccard import Lookup
 
@@ -43,8 +45,8 @@ WALKS_MOST = 64
 LONGEST = 64
 #: trials of each kind of edit and item length
 TRIALS = 100
-#: items that are held in a worker at once; more are searched in so many passes
-ITEMS_AT_ONCE = 100_000
+#: items, and bytes of their texts, that are broadcast and held in a worker at once, about; more are searched in so many passes
+ITEMS_AT_ONCE, BYTES_AT_ONCE = 100_000, 64_000_000
 _U = np.uint64
 _PAD = _U(0x5851F42D4C957F2D)
 
@@ -176,7 +178,8 @@ class Index:
         self.least = np.maximum(1, self.length - self.q + 1 - self.k * self.q)
         #: walks by item length; windows of items of other lengths are not sampled
         self.walks = {}
-        self.signed = {}
+        #: items by bucket: one table of the signatures of all walks, by item length
+        self.buckets = {}
         self.bits = []
         for w in items:
             b: dict = {}
@@ -190,9 +193,12 @@ class Index:
                 need = walks_needed([items[i] for i in own[:TRIALS]])
                 if need is None:
                     continue
-                self.walks[length] = every.first(need)
-                for i, s in zip(own, self.walks[length].signatures(np.stack([items[i] for i in own]))):
-                    self.signed[int(i)] = s
+                walks = self.walks[length] = every.first(need)
+                key = self.buckets_of(walks.signatures(np.stack([items[i] for i in own])))
+                item = np.repeat(own, walks.walks)
+                order = np.argsort(key.ravel(), kind="stable")
+                keys, begin, count = np.unique(key.ravel()[order], return_index=True, return_counts=True)
+                self.buckets[length] = (Lookup(keys), begin, count, item[order])
         self.grams = {}
         for q in np.unique(self.q).tolist():
             own = np.flatnonzero(self.q == q)
@@ -230,29 +236,39 @@ class Index:
             return (np.zeros(0, np.int64),) * 3
         return tuple(np.concatenate(x) for x in zip(*out))
 
-    def collide(self, h: np.ndarray, first: np.ndarray, doc, item, diag) -> np.ndarray:
-        """Which windows share a sampled signature with their item."""
-        ok = np.ones(len(item), dtype=bool)
-        for length in np.unique(self.length[item]).tolist():
-            if length not in self.walks:
-                continue
-            own = np.flatnonzero(self.length[item] == length)
-            for low in range(0, len(own), 4096):
-                part = own[low : low + 4096]
-                mine = self.walks[length].signatures(cut_windows(h, first, doc[part], diag[part], length))
-                theirs = np.stack([self.signed[int(i)] for i in item[part]])
-                ok[part] = (mine == theirs).any(axis=1)
-        return ok
+    @staticmethod
+    def buckets_of(signatures: np.ndarray) -> np.ndarray:
+        """A bucket for each walk and signature."""
+        return mix(signatures ^ mix(np.arange(1, signatures.shape[1] + 1, dtype=np.uint64)))
+
+    def candidates(self, h: np.ndarray, first: np.ndarray, doc, item, diag) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, item, diagonal), in that order: what the windows find in the buckets of their length; those of lengths that are not sampled keep the item whose grams they have."""
+        length = self.length[item]
+        plain = ~np.isin(length, list(self.walks))
+        out = [(doc[plain], item[plain], diag[plain])]
+        for n in np.unique(length[~plain]).tolist():
+            own = length == n
+            w = np.unique(np.stack([doc[own], diag[own]], axis=1), axis=0)
+            lookup, begin, count, items = self.buckets[n]
+            for low in range(0, len(w), 4096):
+                part = w[low : low + 4096]
+                key = self.buckets_of(self.walks[n].signatures(cut_windows(h, first, part[:, 0], part[:, 1], n)))
+                at, k = lookup.find(key.ravel())
+                c = count[k]
+                hit = items[np.repeat(begin[k] - np.concatenate([[0], np.cumsum(c)[:-1]]), c) + np.arange(c.sum())] if len(k) else k
+                at = np.repeat(at // key.shape[1], c)
+                out.append((part[at, 0], hit, part[at, 1]))
+        found = np.unique(np.stack([np.concatenate(x) for x in zip(*out)], axis=1), axis=0)
+        return found[:, 0], found[:, 1], found[:, 2]
 
     def matches(self, arr):
         """(row, item, edits, first word, words) of the best match of each text and item."""
         for row, _, _, _, first, h in hashed(arr):
-            doc, item, diag = self.windows(h, first)
-            ok = self.collide(h, first, doc, item, diag)
+            doc, item, diag = self.candidates(h, first, *self.windows(h, first))
             best: dict = {}
             words: dict = {}
             done: dict = {}
-            for d, i, s in zip(doc[ok].tolist(), item[ok].tolist(), diag[ok].tolist()):
+            for d, i, s in zip(doc.tolist(), item.tolist(), diag.tolist()):
                 k, length = int(self.k[i]), int(self.length[i])
                 if s <= done.get((d, i), -(2**62)):  # the run around an earlier window holds this one's
                     continue
@@ -269,44 +285,61 @@ class Index:
                 yield row + d, i, edits, max(0, end - int(self.length[i])), int(self.length[i])
 
 
-def indexes(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", exhaustive: bool = False) -> list[Index]:
-    rows = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(text).cast("string").alias("t")).dropna().distinct().orderBy("i", "t").toArrow()
-    ids, items = [], []
-    for row, _, _, _, first, h in hashed(rows.column("t")):
-        for k in range(len(first) - 1):
-            if first[k + 1] > first[k]:
-                ids.append(rows.column("i")[row + k].as_py())
-                items.append(h[first[k] : first[k + 1]])
-    return [Index(ids[a : a + ITEMS_AT_ONCE], items[a : a + ITEMS_AT_ONCE], exhaustive) for a in range(0, len(ids), ITEMS_AT_ONCE)]
+def indexes(benchmark: DataFrame, item_id: str = "item_id", text: str = "text", exhaustive: bool = False):
+    """The indexes of the passes, one after the other; a pass has about ITEMS_AT_ONCE items and BYTES_AT_ONCE bytes of text."""
+    rows = benchmark.select(F.col(item_id).cast("long").alias("i"), F.col(text).cast("string").alias("t")).dropna().distinct()
+    size = rows.agg(F.count("*").alias("n"), F.sum(F.octet_length("t")).alias("b")).first()
+    passes = max(1, -(-size["n"] // ITEMS_AT_ONCE), -(-(size["b"] or 0) // BYTES_AT_ONCE))
+    for k in range(passes):
+        own = rows.filter(F.pmod(F.xxhash64("i", "t"), F.lit(passes)) == k).orderBy("i", "t").toArrow()
+        ids, items = [], []
+        for row, _, _, _, first, h in hashed(own.column("t")):
+            for j in range(len(first) - 1):
+                if first[j + 1] > first[j]:
+                    ids.append(own.column("i")[row + j].as_py())
+                    items.append(h[first[j] : first[j + 1]])
+        yield k == passes - 1, Index(ids, items, exhaustive)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, exhaustive: bool = False) -> DataFrame:
-    """(doc_id, item_id, edits, first_word, words) for each document and item it leaks; ``exhaustive`` skips the sampling."""
-    cast = docs.sparkSession.sparkContext.broadcast(indexes(benchmark, exhaustive=exhaustive))
+    """(doc_id, item_id, edits, first_word, words) for each document and item it leaks; ``exhaustive`` skips the sampling.  A pass is one broadcast and one job."""
+    docs, out = text_documents(docs), None
+    for last, index in indexes(benchmark, exhaustive=exhaustive):
+        cast = docs.sparkSession.sparkContext.broadcast(index)
 
-    def run(batches):
-        for batch in batches:
-            ids = batch.column("doc_id").to_pylist()
-            rows = [(ids[r], ix.ids[i], e, s, n) for ix in cast.value for r, i, e, s, n in ix.matches(batch.column("text"))]
-            cols = list(zip(*rows)) or [()] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "item_id", "edits", "first_word", "words"])
+        def run(batches, cast=cast):
+            ix = cast.value
+            for batch in batches:
+                ids = batch.column("doc_id").to_pylist()
+                rows = [(ids[r], ix.ids[i], e, s, n) for r, i, e, s, n in ix.matches(batch.column("text"))]
+                cols = list(zip(*rows)) or [()] * 5
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], ["doc_id", "item_id", "edits", "first_word", "words"])
 
-    return text_documents(docs).mapInArrow(run, "doc_id long, item_id long, edits long, first_word long, words long")
+        found = docs.mapInArrow(run, "doc_id long, item_id long, edits long, first_word long, words long")
+        found = found if last else kept(found)
+        out = found if out is None else out.union(found)
+    return out
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all its columns, that leak no item."""
-    cast = docs.sparkSession.sparkContext.broadcast(indexes(benchmark))
+    """The rows of ``docs``, all its columns, that leak no item.  A pass is one broadcast and one job."""
+    for last, index in indexes(benchmark):
+        cast = docs.sparkSession.sparkContext.broadcast(index)
+
+        docs = docs.filter(_clean(cast)(docs["text"].cast("string")))
+        docs = docs if last else kept(docs)
+    return docs
+
 
+def _clean(cast):
     @F.arrow_udf("boolean")
     def clean(text: pa.Array) -> pa.Array:
         ok = np.ones(len(text), dtype=bool)
-        for ix in cast.value:
-            for r, *_ in ix.matches(text):
-                ok[r] = False
+        for r, *_ in cast.value.matches(text):
+            ok[r] = False
         return pa.array(ok)
 
-    return docs.filter(clean(docs["text"].cast("string")))
+    return clean
 
 
 def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
