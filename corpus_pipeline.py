@@ -8,7 +8,17 @@ Stages, each on all rows that its predecessor kept, written as Parquet between:
 4. ``redact_secrets``: secrets in a text are replaced by their kind; n_chars follows;
 5. ``encode``: byte-level BPE, with a decoding round trip.
 
-All but the last return the columns of ``documents`` that they were given.
+All but the last return the columns of ``documents`` that they were given; extra columns, whatever their names, pass through.
+
+Defined results: null and empty texts go in stage 1, so that no later stage meets one; a text without a word is classified like others
+and is no near duplicate, but of equal ones of one doc_id one stays; a document without a doc_id is
+classified, scanned, redacted and encoded like any other, and is no near duplicate of another, but of equal rows without one
+(the same set of grams) one stays; of repeated rows of one doc_id that have the same set of grams one stays, of those with different texts
+that are near duplicates of nothing lower all stay; ties go to the lowest doc_id; texts of any length are used whole; an empty table
+of documents gives an empty result, an empty ``labels`` rejects nothing with words, an empty ``benchmark`` nothing at all.
+
+A stage's folder under the shared checkpoint folder is removed when the next but one has been written; the last one's input stays, for
+the result reads it.
 """
 
 from __future__ import annotations
@@ -61,4 +71,11 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
             return out
         out.write.parquet(f"{base}/{k}-{name}")
         docs = spark.read.parquet(f"{base}/{k}-{name}")
+        if k:
+            _remove(spark, f"{base}/{k - 1}-{STAGES[k - 1][0]}")
     return docs
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
