@@ -6,17 +6,16 @@ import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-_local: list[str] = []
-
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of this machine only where none is named."""
+    """The folder that spark.checkpoint.dir names.  Where none is named: in local mode, where there is one machine, a new temporary folder; on a cluster an error."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir", None)
         if named is None:
-            _local[:] = _local or [tempfile.mkdtemp(prefix="wordloom-")]
-            named = _local[0]
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            named = tempfile.mkdtemp(prefix="wordloom-")
         sc.setCheckpointDir(named)
     return sc.getCheckpointDir()
 
