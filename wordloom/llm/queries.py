@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, decontamination, embedding_dedup, jaccard, language_id, lm_scoring, quality, secret_scan, suffix_dedup
+from . import _sql, bpe, chat, decontamination, embedding_dedup, jaccard, language_id, lm_scoring, quality, secret_scan, suffix_dedup
 
 QUERIES = {
     "op1_lm_scoring": lm_scoring.op1_lm_scoring,
@@ -16,4 +16,9 @@ QUERIES = {
     "op9_embedding_near_dedup": embedding_dedup.op9_embedding_near_dedup,
     "op10_secret_scan": secret_scan.op10_secret_scan,
 }
-ORACLES: dict[str, str] = {"op3_chat_formatting": chat.OP3_SQL}
+ORACLES: dict[str, str] = {
+    "op3_chat_formatting": chat.OP3_SQL,
+    "op4_suffix_dedup": _sql.PASSAGES,
+    "op7_ngram_jaccard_join": _sql.JACCARD,
+    "op9_embedding_near_dedup": _sql.EMBEDDINGS,
+}
