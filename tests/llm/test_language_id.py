@@ -50,3 +50,46 @@ def test_em_reaches_the_likelihood_of_brute_force():
     penalised = {s: v - L.PENALTY / 2 * np.log(61) * len(s) for s, v in best.items()}
     assert frozenset(np.flatnonzero(share[0]).tolist()) == max(penalised, key=penalised.get)
     assert like[0] >= best[frozenset(np.flatnonzero(share[0]).tolist())] - 0.5
+
+
+def test_em_ends_where_it_settles():
+    """A mixture of two near languages, which a dozen rounds do not settle, and of all sizes at once."""
+    r = np.random.default_rng(5)
+    n = [1, 3, 200, 4000]
+    first = np.concatenate([[0], np.cumsum(n)])
+    ll = np.log(0.8 + 0.4 * r.random((2, first[-1])))
+    p = np.exp(ll - ll.max(axis=0))
+    got = L.maximised(np.full((4, 2), 0.5), p, first)
+    for i in range(4):
+        x = p[:, first[i] : first[i + 1]]
+        grid = np.linspace(0, 1, 2001)
+        like = [np.log(np.maximum(g * x[0] + (1 - g) * x[1], 1e-300)).sum() for g in grid]
+        mine = np.log(got[i, 0] * x[0] + got[i, 1] * x[1]).sum()
+        assert mine >= max(like) - 0.05 and abs(got[i].sum() - 1) < 1e-9
+
+
+def test_of_equal_languages_the_first_leads(spark):
+    rows = [(k, "ka ri tok vel mun sha " * 3, lang) for k, lang in enumerate(("bb", "aa", "cc"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert {x.language for x in L.identify(df).collect()} == {"aa"}
+
+
+def test_word_likelihoods_are_sums_of_trigrams(spark):
+    """The model against counts and sums of one trigram after another."""
+    docs = [(1, "abc abd", "xx"), (2, "zab", "yy"), (3, "abc", "xx")]
+    model = L.train(spark.createDataFrame(docs, "doc_id long, text string, lang string"))
+    counts = {lang: np.zeros(L.BUCKETS) for lang in ("xx", "yy")}
+
+    def buckets(word):
+        b = [1, *word.encode(), 2]
+        return [((b[i] << 16 | b[i + 1] << 8 | b[i + 2]) * 0x9E3779B1 & 0xFFFFFFFF) >> 17 for i in range(len(b) - 2)]
+
+    for _, t, lang in docs:
+        for w in t.split():
+            for k in buckets(w):
+                counts[lang][k] += 1
+    (_, _, like, n), *_ = model.infer(L.pa.array(["abd zab"]))
+    want = {lang: sum(np.log((c[k] + L.SMOOTH) / (c.sum() + L.SMOOTH * L.BUCKETS)) for w in ("abd", "zab") for k in buckets(w)) for lang, c in counts.items()}
+    assert model.languages == ["xx", "yy"] and n[0] == 2 and like[0] >= max(want.values()) - 1e-3
+    (_, share, like, _), *_ = L.Model(["xx"], np.array([counts["xx"]])).infer(L.pa.array(["abd zab"]))
+    assert abs(like[0] - want["xx"]) < 1e-3

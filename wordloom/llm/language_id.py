@@ -4,13 +4,13 @@ Each language has a hashed byte-trigram model, trained on at most MAX_TRAIN labe
 documents (those of lowest hash of doc_id: a documented bound; inference covers every document and
 whole texts).  A word's likelihood in a language is that of its trigrams.  A document is a
 mixture: its words are drawn from languages in unknown shares, which expectation-maximisation
-estimates.  The set of languages is selected by penalised likelihood: from all languages, the one of
+estimates, round by round until no share moves by TOLERANCE.  The set of languages is selected by penalised likelihood: from all languages, the one of
 least share is dropped, the rest fitted again, down to one; the set with the best ``log likelihood - PENALTY / 2
 * log(words) * languages`` stays.
 
 Defined results: null, empty and wordless texts have no language (null) and no shares; rows with a
 null label are scored but not trained on; repeated rows are scored alike; without any label every language is null;
-an empty table gives an empty result; of equal shares the language first by name leads; other columns are not looked at.
+a row without a doc_id is scored and not trained on; an empty table gives an empty result; of equal shares the language first by name leads; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -26,7 +26,8 @@ from ._text import chunks, fold, word_bounds
 MAX_TRAIN = 4_000
 BUCKETS = 1 << 15
 PENALTY = 4.0
-ROUNDS = 12
+#: rounds of expectation-maximisation end where no share moves by more than TOLERANCE, or at ROUNDS
+TOLERANCE, ROUNDS = 1e-4, 500
 #: pseudo counts of a trigram bucket
 SMOOTH = 0.2
 
@@ -48,6 +49,26 @@ def segmented(x: np.ndarray, begin: np.ndarray) -> np.ndarray:
     return np.add.reduceat(x, begin, axis=-1) if len(begin) else np.zeros((*x.shape[:-1], 0), x.dtype)
 
 
+def maximised(share: np.ndarray, p: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """The shares (texts x languages) that expectation-maximisation leads to from ``share``; texts that have settled are not worked on further."""
+    share, own = share.copy(), np.arange(len(share))
+    words = np.diff(first)
+    doc = np.repeat(own, words)
+    for k in range(ROUNDS):
+        now = share[own]
+        weight = now[doc].T * p
+        weight /= np.maximum(weight.sum(axis=0), 1e-300)
+        share[own] = segmented(weight, first[:-1]).T / words[:, None]
+        moving = np.abs(share[own] - now).max(axis=1) > TOLERANCE
+        if not moving.any():
+            break
+        if moving.sum() < 0.75 * len(own):
+            p, own, words = p[:, moving[doc]], own[moving], words[moving]
+            first = np.concatenate([[0], np.cumsum(words)])
+            doc = np.repeat(np.arange(len(own)), words)
+    return share
+
+
 def mixtures(ll: np.ndarray, first: np.ndarray, penalty: float = PENALTY) -> tuple[np.ndarray, np.ndarray]:
     """Shares (texts x languages) and log likelihood by the selected sets; ``ll`` is languages x words, ``first`` the first word of each text with words (and the end)."""
     langs, n = len(ll), len(first) - 1
@@ -59,17 +80,13 @@ def mixtures(ll: np.ndarray, first: np.ndarray, penalty: float = PENALTY) -> tup
     allowed = np.ones((n, langs), dtype=bool)
     best, score, loglik = np.zeros((n, langs)), np.full(n, -np.inf), np.zeros(n)
     for size in range(langs, 0, -1):
-        share = allowed / size
-        for _ in range(ROUNDS if size > 1 else 1):
-            weight = share[doc].T * p
-            total = np.maximum(weight.sum(axis=0), 1e-300)
-            share = segmented(weight / total, first[:-1]).T / words[:, None]
+        share = maximised(allowed / size, p, first) if size > 1 else allowed.astype(float)
         total = np.maximum((share[doc].T * p).sum(axis=0), 1e-300)
         like = base + segmented(np.log(total), first[:-1])
         value = like - penalty / 2 * np.log(words + 1) * size
         ok = value > score
         best[ok], score[ok], loglik[ok] = share[ok], value[ok], like[ok]
-        allowed[np.arange(n), np.where(allowed, share, np.inf).argmin(axis=1)] = False
+        allowed[np.arange(n), langs - 1 - np.where(allowed, share, np.inf)[:, ::-1].argmin(axis=1)] = False  # of equal ones the last
     return best, loglik
 
 
