@@ -53,3 +53,11 @@ def test_scores_of_documents(spark):
             assert got[i].log_probability == pytest.approx(sum(lattice.forward(L.MARK + w)[-1] for w in text.split()), abs=1e-3, rel=1e-6)
     assert sum(map(exp, lattice.scores.values())) == pytest.approx(1)
     assert L.score(df.limit(0)).count() == 0
+
+
+def test_scores_by_the_vocabulary_alone(spark):
+    df = spark.createDataFrame([(1, "the cat"), (2, "the cat sat on a mat")], "doc_id long, text string")
+    lattice = L.Lattice(L.prior(L.MODEL))
+    for docs in (df, df.filter("doc_id = 1")):
+        got = {r.doc_id: r.log_probability for r in L.score(docs, weight=None).collect()}
+        assert got[1] == pytest.approx(lattice.forward("▁the")[-1] + lattice.forward("▁cat")[-1], abs=1e-3)

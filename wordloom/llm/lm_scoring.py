@@ -4,7 +4,8 @@ The pieces and their scores are those of a public vocabulary file (never trained
 are merge ranks, so a piece's prior is Zipf's law of its rank.  The weights are the prior and the pieces' expected
 counts in the whole corpus under it: all distinct words are gathered with their counts, and
 forward-backward over each word's lattice gives the counts of its pieces (a posterior mean with PRIOR
-observations of the prior).
+observations of the prior).  ``score(docs, weight=None)`` weights by the vocabulary's scores alone; then a document's score
+does not depend on the others.
 
 A document is its words (maximal runs without white space), each beginning with the vocabulary's word
 mark.  No piece crosses a word mark, so the sum over segmentations of a document is the product of that of its words.  The
@@ -12,7 +13,7 @@ forward recursion runs in log space; the sums of prefixes are shared by all word
 alike.  A character that is no piece is the product of its byte pieces.
 
 Defined results: a null text has null scores, a text without words log probability 0 and null bits
-a byte; repeated rows are scored alike; an empty table gives an empty result; texts and words of any length are scored
+a byte; rows without a doc_id are scored like others; repeated rows are scored alike; an empty table gives an empty result; texts and words of any length are scored
 whole; no other columns are looked at.
 """
 
@@ -231,10 +232,10 @@ def fitted(docs: DataFrame, path: str = MODEL, weight: float = PRIOR) -> dict[st
     return {p: log((counts.get(p, 0.0) + weight * exp(s)) / total) for p, s in scores.items()}
 
 
-def score(docs: DataFrame, path: str = MODEL, weight: float = PRIOR) -> DataFrame:
-    """(doc_id, log_probability, n_words, n_bytes, bits_per_byte) of each row of ``docs``."""
+def score(docs: DataFrame, path: str = MODEL, weight: float | None = PRIOR) -> DataFrame:
+    """(doc_id, log_probability, n_words, n_bytes, bits_per_byte) of each row of ``docs``; without ``weight`` by the vocabulary's scores alone, whatever the other rows."""
     docs = text_documents(docs)
-    cast = docs.sparkSession.sparkContext.broadcast(fitted(docs, path, weight))
+    cast = docs.sparkSession.sparkContext.broadcast(prior(path) if weight is None else fitted(docs, path, weight))
     state: dict = {}
 
     def run(batches):
