@@ -132,3 +132,64 @@ def test_cards_without_a_word_before_them():
         assert S.find(f"7536784127813051 {c}.") == [(17, 17 + len(c), "card")]
         assert S.find(f"no {c[:-1]}{(int(c[-1]) + 1) % 10} x") == [] and S.find(f"id a{c} {c}b") == []
     assert S.find("7536784127813050") == [] and S.find("4 4 4 4 " * 50_000 + "end") == []
+
+
+def independent(text):
+    """Spans of some kinds of secrets by plain loops and the public definitions of the formats, without the module's rules."""
+    import zlib
+
+    word = set(AL)
+    out = []
+    for head in ("ghp_", "gho_", "ghu_", "ghs_", "ghr_", "npm_"):
+        for i in range(len(text)):
+            body = text[i + 4 : i + 40]
+            if text[i : i + 4] == head and len(body) == 36 and set(body) <= word and (i == 0 or text[i - 1] not in word) and text[i + 40 : i + 41] not in word:
+                n, crc = zlib.crc32(body[:30].encode()), ""
+                while n:
+                    n, d = divmod(n, 62)
+                    crc = (string.digits + string.ascii_uppercase + string.ascii_lowercase)[d] + crc
+                if body[30:] == crc.rjust(6, "0"):
+                    out.append((i, i + 40, "npm_token" if head == "npm_" else "github_token"))
+    i = text.find("-----BEGIN ")
+    while i >= 0:
+        line = text[i : text.find("-----", i + 11) + 5]
+        end = text.find("-----END ", i)
+        if line.endswith("PRIVATE KEY-----") and end >= 0:
+            out.append((i, text.find("-----", end + 9) + 5, "private_key"))
+        i = text.find("-----BEGIN ", i + 1)
+    url = word | set("-_")
+    for i in range(len(text)):
+        if text[i : i + 3] == "eyJ" and (i == 0 or text[i - 1] not in url):
+            parts, j = [], i
+            for k in range(3):
+                begin = j
+                while j < len(text) and text[j] in url:
+                    j += 1
+                parts.append(text[begin:j])
+                if k < 2:
+                    if text[j : j + 1] != ".":
+                        break
+                    j += 1
+            if len(parts) == 3 and parts[1].startswith("eyJ") and all(len(x) >= 8 for x in parts):
+                out.append((i, j, "jwt"))
+    return sorted(out)
+
+
+def test_against_definitions_without_the_rules():
+    pem = lambda n, head="": f"-----BEGIN RSA PRIVATE KEY-----\n{head}" + "\n".join(pick(64) for _ in range(n)) + "\n-----END RSA PRIVATE KEY-----"
+    good = [with_crc("ghp_"), with_crc("npm_"), with_crc("ghs_"), pem(10), pem(300), pem(24, "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-256-CBC,00FF\n\n"), "eyJ" + pick(20) + ".eyJ" + pick(4097) + "." + pick(43), "eyJ" + pick(3000) + ".eyJ" + pick(90) + "." + pick(2000)]
+    bad = [with_crc("ghp_")[:-1] + "_", "ghp_" + pick(36), "eyJ" + pick(9) + ".eyJ" + pick(3), "-----BEGIN PUBLIC KEY-----\nabc\n-----END PUBLIC KEY-----", "x" + with_crc("npm_"), "plain words of a text"]
+    for seed in range(30):
+        rr = random.Random(seed)
+        own = [rr.choice(good + bad) for _ in range(8)]
+        text = "".join(x + rr.choice([" ", "\n", ", ", " | "]) for x in own)
+        got = [x for x in S.find(text) if x[2] in ("github_token", "npm_token", "private_key", "jwt")]
+        assert got == independent(text)
+        left = S.redact(text)
+        assert not any(x in left for x in own if x in good)
+
+
+def test_runs_of_any_length():
+    for text, size in ((f'token = "{pick(513)}"', 513), ("xoxb-" + pick(300), 305), ("sk_live_" + pick(150), 158)):
+        (s, e, _), *more = S.find(text)
+        assert e - s == size and not more
