@@ -7,18 +7,26 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_local: list[str] = []
+#: rows of an Arrow batch, unless the session says otherwise: 10,000 texts at once, in the JVM and in Python, are a large part of a small executor
+BATCH_ROWS = 2_000
+_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """BATCH_ROWS rows a batch where the session has Spark's default."""
+    if spark.conf.get(_ROWS) == "10000":
+        spark.conf.set(_ROWS, BATCH_ROWS)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder named in spark.checkpoint.dir; a folder of this machine only where the setting is absent."""
+    """Use the folder named in spark.checkpoint.dir.  Where none is named: in local mode, where there is one machine, a new temporary folder; on a cluster an error."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         named = sc.getConf().get("spark.checkpoint.dir", None)
         if named is None:
-            if not _local:
-                _local.append(tempfile.mkdtemp(prefix="wordloom-"))
-            named = _local[0]
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+            named = tempfile.mkdtemp(prefix="wordloom-")
         sc.setCheckpointDir(named)
 
 
@@ -35,6 +43,7 @@ def small_or_shuffled(df: DataFrame, rows: int) -> DataFrame:
 
 def text_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Only the columns an operator needs, under its own names, whatever else ``docs`` holds."""
+    small_batches(docs.sparkSession)
     return docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].cast("string").alias("text"))
 
 

@@ -491,7 +491,7 @@ def _candidates(windows: DataFrame, parts: int, t: float) -> DataFrame:
             del lots
             _, one, to = np.unique(head["id"], return_index=True, return_inverse=True)
             doc, info = np.repeat(to, head["here"]), head[one]
-            size, held, room = info["size"].astype(np.int64), (np.zeros(0, np.int64), np.zeros(0, np.int64)), 4_000_000
+            size, held, room = info["size"].astype(np.int64), (np.zeros(0, np.int64), np.zeros(0, np.int64)), _FLUSH
             for a, b in group_pairs(g, doc, size, t):
                 new = _counted(np.minimum(a, b) * len(info) + np.maximum(a, b), np.ones(len(a)))
                 held = _counted(np.concatenate([held[0], new[0]]), np.concatenate([held[1], new[1]]))
