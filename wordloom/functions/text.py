@@ -34,7 +34,7 @@ def _composed(text: pd.Series) -> pd.Series:
 
 def pieces(line: Column) -> Column:
     """The runs without white space."""
-    return F.filter(F.split(line, _SPACE), lambda x: x != "")
+    return F.array_remove(F.split(line, _SPACE), "")
 
 
 def normalize(piece: Column, mode: str = "corpus_en") -> Column:
