@@ -182,10 +182,12 @@ def multikey(words: np.ndarray, at: np.ndarray, group: np.ndarray, depth: int) -
     deeper, and greater.  All segments are split at once, round by round; those of one suffix drop out, those that
     have reached ``depth`` are done.
     """
-    order = np.argsort(group, kind="stable")
+    small = np.int32 if len(at) < 2**29 else np.int64
+    order = np.argsort(group, kind="stable").astype(small)
     segment = group[order]
-    level = np.zeros(len(order), dtype=np.int64)
-    place = np.searchsorted(segment, segment)  # where an element's segment begins in the sorted whole
+    level = np.zeros(len(order), dtype=small)
+    place = np.searchsorted(segment, segment).astype(small)  # where an element's segment begins in the sorted whole
+    del segment
     done: list[tuple[np.ndarray, np.ndarray]] = []
     while True:
         begin = np.flatnonzero(np.append(True, place[1:] != place[:-1])) if len(place) else np.zeros(0, np.int64)
@@ -202,11 +204,13 @@ def multikey(words: np.ndarray, at: np.ndarray, group: np.ndarray, depth: int) -
         three = np.sort(np.stack([word[begin], word[begin + size // 2], word[begin + size - 1]]), axis=0)
         pivot = np.repeat(three[1], size)
         side = (word >= pivot).astype(np.int8) + (word > pivot)
-        by = np.argsort(np.repeat(np.arange(len(begin)), size) * 3 + side, kind="stable")
+        del word, pivot
+        by = np.argsort(np.repeat(np.arange(len(begin), dtype=small), size) * small(3) + side, kind="stable")
         less, same = np.add.reduceat(side == 0, begin), np.add.reduceat(side == 1, begin)
         order, level, place, side = order[by], level[by], place[by], side[by]
-        place = place + np.where(side > 0, np.repeat(less, size), 0) + np.where(side > 1, np.repeat(same, size), 0)
-        level = level + (side == 1)
+        place += np.repeat(less.astype(small), size) * (side > 0)
+        place += np.repeat(same.astype(small), size) * (side > 1)
+        level += side == 1
     order, place = (np.concatenate(x) for x in zip(*done))
     by = np.argsort(place, kind="stable")
     return order[by], np.unique(place[by], return_inverse=True)[1]
