@@ -261,6 +261,20 @@ def test_history(spark, tmp_path):
     assert [(r.freq, r.accept, r.last_used) for r in taken.filter("word = 'gox'").collect()] == [(5, 1, NOW + 50)]
 
 
+def test_neighbours_across_buckets(spark):
+    import random
+
+    r = random.Random(4)
+    rows = [(u, r.choice([None, 1, 2, 3]), r.randint(0, 500), k) for k, u in enumerate([1] * 200 + [2] * 20 + [3])]
+    want = []
+    for u in (1, 2, 3):
+        own = sorted([x for x in rows if x[0] == u], key=lambda x: x[2:])
+        want += [(u, a[1], b[1], b[2]) for a, b in zip(own, own[1:]) if a[1] and b[1]]
+    df = spark.createDataFrame(rows, "user_id long, id long, at long, seq long")
+    for bucket in (1, 60, 10_000):
+        assert sorted(map(tuple, history.followed(df, bucket).collect())) == sorted(want)
+
+
 def test_history_pruning(spark):
     e = spark.createDataFrame([(1, 1, k, k, NOW) for k in range(1, 8)] + [(1, 2, 9, 1, NOW)], history.EDGE)
     assert sorted(r.next_id for r in history.pruned(e, NOW, over=5, keep=2).collect()) == [6, 7, 9]

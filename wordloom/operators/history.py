@@ -48,6 +48,21 @@ def learn(messages: DataFrame, known: DataFrame, private: DataFrame | None = Non
     return words, edges
 
 
+def followed(uses: DataFrame, bucket: int = 3600) -> DataFrame:
+    """(user_id, prev_id, next_id, at) of neighbours among a user's (user_id, id, at, seq), in order of (at, seq); none across an id that is null.
+
+    Neighbours are found within buckets of so many seconds, and the last id of a bucket is handed to the user's next one, so that
+    a user with a large share of all rows is many tasks.
+    """
+    own = uses.withColumn("_b", F.floor(F.col("at") / bucket))
+    last = own.groupBy("user_id", "_b").agg(F.max_by(F.struct("id"), F.struct("at", "seq")).alias("_last"))
+    before = last.select("user_id", "_b", F.lag("_last").over(Window.partitionBy("user_id").orderBy("_b")).getField("id").alias("_before"))
+    w = Window.partitionBy("user_id", "_b").orderBy("at", "seq")
+    own = own.withColumn("_r", F.row_number().over(w)).withColumn("_lag", F.lag("id").over(w)).join(before, ["user_id", "_b"])
+    pairs = own.select("user_id", F.when(F.col("_r") == 1, F.col("_before")).otherwise(F.col("_lag")).alias("prev_id"), F.col("id").alias("next_id"), "at")
+    return pairs.filter("prev_id IS NOT NULL AND next_id IS NOT NULL")
+
+
 def merge_words(*parts: DataFrame) -> DataFrame:
     """Stats summed, saturating at 32 bits, with the last use."""
     every = parts[0]

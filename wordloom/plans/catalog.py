@@ -150,7 +150,8 @@ def build_counters(spark, sf):
     """One row: lines, bigrams, distinct pairs and contexts of the corpus."""
     own = kept(bigram_counts(spark, sf))
     n = documents(spark, sf).select(F.size(F.split("text", "\n")).alias("n")).agg(F.sum("n").alias("lines"))
-    return own.agg(F.sum("cnt").alias("bigrams"), F.count("*").alias("pairs"), F.count_distinct("prev").alias("contexts")).crossJoin(n).select("lines", "bigrams", "pairs", "contexts")
+    rows = own.agg(F.sum("cnt").alias("bigrams"), F.count("*").alias("pairs"), F.count_distinct("prev").alias("contexts")).unionByName(n, allowMissingColumns=True)
+    return rows.agg(*(F.max(c).alias(c) for c in ("lines", "bigrams", "pairs", "contexts")))
 
 
 def bigram_pruned(spark, sf):
@@ -232,13 +233,9 @@ def history_word_score(spark, sf):
 
 
 def _event_pairs(spark, sf):
-    from pyspark.sql import Window
-
-    e = read(spark, sf, "events").select("user_id", "event_type", "event_id", F.unix_timestamp("ts").alias("at"))
+    e = read(spark, sf, "events").select("user_id", "event_type", F.col("event_id").alias("seq"), F.unix_timestamp("ts").alias("at"))
     kinds = F.create_map(*(x for k, v in (("signup", 0), ("purchase", 1), ("error", 2), ("view", 3), ("click", 4)) for x in (F.lit(k), F.lit(v))))
-    e = e.withColumn("id", kinds[F.col("event_type")].cast("long"))
-    w = Window.partitionBy("user_id").orderBy("at", "event_id")
-    return e.select("user_id", F.lag("id").over(w).alias("prev_id"), F.col("id").alias("next_id"), "at").filter("prev_id IS NOT NULL AND next_id IS NOT NULL")
+    return history.followed(e.withColumn("id", kinds[F.col("event_type")].cast("long")))
 
 
 def _event_edges(spark, sf):
@@ -300,7 +297,7 @@ def history_prune(spark, sf):
 def history_lookup(spark, sf):
     """The private ids of some words by user, and back from these to words."""
     words = kept(_learned(spark, sf)[0])
-    keys = words.select("user_id").distinct().join(F.broadcast(_probes(spark).withColumnRenamed("key", "word")), how="cross")
+    keys = words.select("user_id").distinct().select("user_id", F.explode(F.array(*map(F.lit, PROBES))).alias("word"))
     found = history.lookup(words, keys).filter("word_id IS NOT NULL")
     return history.lookup(words, found.select("user_id", "word_id"))
 
