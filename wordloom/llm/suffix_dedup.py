@@ -11,7 +11,8 @@ two documents have are sorted at all, and their words travel once for all suffix
     texts -> (anchor, doc) -> anchors of two documents -> join to the texts by doc_id -> words
           -> deep-shallow sort by anchor -> repeated windows -> union by document
 
-Nothing is broadcast.  Words are told apart by 32 bits of a hash among suffixes of one 64-bit anchor.
+Equal strings of an anchor travel once for each lot of a task, so a passage that a third of all documents have costs 16 bytes for each of
+them.  Nothing is broadcast.  Words are told apart by 32 bits of a hash among suffixes of one 64-bit anchor.
 
 Defined results: null, empty and short texts have no passages; rows of one doc_id count as one document,
 so repeats inside it are none; rows with a null doc_id are left out; an empty table gives an empty
@@ -33,6 +34,8 @@ ANCHOR = 26
 #: words that multikey quicksort looks at
 SHALLOW = 8
 _FLUSH = 400_000
+#: occurrences whose suffixes are looked at together
+BLOCK = 50_000
 _U = np.uint64
 
 
@@ -120,8 +123,16 @@ def _shared_anchors(docs: DataFrame, width: int, parts: int) -> DataFrame:
     return got.groupBy("doc_id").agg(F.collect_list("anchors").alias("anchors"))
 
 
+def string_ids(words: np.ndarray, key: np.ndarray, n: np.ndarray, size: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """A hash of each occurrence of an anchor: of the anchor, its number of suffixes and their words in order."""
+    if not len(n):
+        return np.zeros(0, dtype=np.uint64)
+    place = (np.arange(len(words)) - np.repeat(begin, size)).astype(np.uint64)
+    return np.add.reduceat(mix(words.astype(np.uint64) + (place << _U(32))), begin) + mix(key ^ n.astype(np.uint64))
+
+
 def _words(docs: DataFrame, shared: DataFrame, width: int, parts: int) -> DataFrame:
-    """(part, head, body): for each shared anchor of a document its suffixes' places and their words."""
+    """(part, places, strings, body): for each shared anchor of a document its suffixes' places and their words; equal strings of a lot travel once."""
 
     def emit(batches):
         lot, held = [], 0
@@ -129,15 +140,21 @@ def _words(docs: DataFrame, shared: DataFrame, width: int, parts: int) -> DataFr
         def flush():
             key, ids, low, n, size = (np.concatenate([x[i] for x in lot]) for i in range(5))
             words = np.concatenate([x[5] for x in lot])
+            begin = np.cumsum(size) - size
+            whole = string_ids(words, key, n, size, begin)
+            _, one, to = np.unique(whole, return_index=True, return_inverse=True)
             order, cuts = _pack(key, parts)
-            begin = np.concatenate([[0], np.cumsum(size)])
-            out = []
+            cols = []
             for k, a, b in cuts:
                 o = order[a:b]
-                s = size[o]
-                at = np.repeat(begin[o] - np.concatenate([[0], np.cumsum(s)[:-1]]), s) + np.arange(s.sum())
-                out.append((k, key[o].tobytes() + ids[o].tobytes() + low[o].astype(np.uint32).tobytes() + n[o].astype(np.uint32).tobytes(), words[at].tobytes()))
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int32()), pa.array([x[1] for x in out], pa.binary()), pa.array([x[2] for x in out], pa.binary())], ["part", "head", "body"])
+                strings, local = np.unique(to[o], return_inverse=True)
+                f = one[strings]
+                s = size[f]
+                at = np.repeat(begin[f] - np.concatenate([[0], np.cumsum(s)[:-1]]), s) + np.arange(s.sum())
+                places = ids[o].tobytes() + low[o].astype(np.uint32).tobytes() + local.astype(np.uint32).tobytes()
+                cols.append((k, places, whole[f].tobytes() + key[f].tobytes() + n[f].astype(np.uint32).tobytes(), words[at].tobytes()))
+            k, *binary = zip(*cols)
+            return pa.RecordBatch.from_arrays([pa.array(k, pa.int32()), *(pa.array(c, pa.binary()) for c in binary)], ["part", "places", "strings", "body"])
 
         for batch in batches:
             ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
@@ -169,7 +186,7 @@ def _words(docs: DataFrame, shared: DataFrame, width: int, parts: int) -> DataFr
         if held:
             yield flush()
 
-    return docs.join(shared, "doc_id").mapInArrow(emit, "part int, head binary, body binary")
+    return docs.join(shared, "doc_id").mapInArrow(emit, "part int, places binary, strings binary, body binary")
 
 
 # ---------------------------------------------------------------- deep-shallow sorting
@@ -287,32 +304,44 @@ def equal_suffixes(words: np.ndarray, at: np.ndarray, group: np.ndarray, width:
     return out
 
 
+def runs_of(ids, low, n, suffix, lowest, highest, runner) -> pa.RecordBatch:
+    """(doc_id, low, high, other) of occurrences of ``n`` suffixes from position ``low``, the first of which is ``suffix``: runs that other documents have."""
+    step = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    src, doc, pos = np.repeat(suffix, n) + step, np.repeat(ids, n), np.repeat(low, n) + step
+    other = np.where(lowest[src] != doc, lowest[src], runner[src])
+    hit = lowest[src] != highest[src]
+    doc, pos, other = doc[hit], pos[hit], other[hit]
+    new = np.ones(len(doc), dtype=bool)
+    new[1:] = (doc[1:] != doc[:-1]) | (pos[1:] != pos[:-1] + 1) | (other[1:] != other[:-1])
+    begin = np.flatnonzero(new)
+    end = np.append(begin[1:], len(doc)) - 1
+    return pa.RecordBatch.from_arrays([pa.array(doc[begin]), pa.array(pos[begin]), pa.array(pos[end] if len(doc) else pos), pa.array(other[begin])], ["doc_id", "low", "high", "other"])
+
+
 def _repeated(words: DataFrame, width: int, parts: int) -> DataFrame:
     """(doc_id, low, high, other): runs of suffix positions whose windows another document has, and the least such document."""
 
     def run(batches):
         by: dict[int, list] = {}
         for batch in batches:
-            for p, h, b in zip(batch.column("part").to_pylist(), batch.column("head").to_pylist(), batch.column("body").to_pylist()):
-                by.setdefault(p, []).append((h, b))
+            for p, *x in zip(*(batch.column(c).to_pylist() for c in ("part", "places", "strings", "body"))):
+                by.setdefault(p, []).append(x)
         for p in sorted(by):
-            heads, w = [], []
-            for h, b in by.pop(p):
-                m = len(h) // 24
-                heads.append((np.frombuffer(h[: 8 * m], np.uint64), np.frombuffer(h[8 * m : 16 * m], np.int64), np.frombuffer(h[16 * m : 20 * m], np.uint32), np.frombuffer(h[20 * m :], np.uint32)))
+            places, strings, w, at = [], [], [], 0
+            for x, q, b in by.pop(p):
+                m, k = len(x) // 16, len(q) // 20
+                places.append((np.frombuffer(x[: 8 * m], np.int64), np.frombuffer(x[8 * m : 12 * m], np.uint32), np.frombuffer(x[12 * m :], np.uint32).astype(np.int64) + at))
+                strings.append((np.frombuffer(q[: 8 * k], np.uint64), np.frombuffer(q[8 * k : 16 * k], np.uint64), np.frombuffer(q[16 * k :], np.uint32)))
                 w.append(np.frombuffer(b, np.uint32))
-            key, ids, low, n = (np.concatenate([h[i] for h in heads]) for i in range(4))
+                at += k
+            ids, low, local = (np.concatenate([x[i] for x in places]) for i in range(3))
+            whole, key, n = (np.concatenate([x[i] for x in strings]) for i in range(3))
             w, low, n = np.concatenate(w), low.astype(np.int64), n.astype(np.int64)
             size = n + width - 1
             begin = np.cumsum(size) - size
             # occurrences with the same words throughout are one string to sort
-            block = np.repeat(np.arange(len(n)), size)
-            place = (np.arange(len(w)) - np.repeat(begin, size)).astype(np.uint64)
-            whole = np.zeros(len(n), dtype=np.uint64)
-            if len(n):
-                whole = np.add.reduceat(mix(w.astype(np.uint64) + (place << _U(32))), begin) + mix(key ^ n.astype(np.uint64))
-            del block, place
             _, one, to = np.unique(whole, return_index=True, return_inverse=True)
+            to = to[local]
             order = np.lexsort((ids, to))
             t, i = to[order], ids[order]
             least, most = np.zeros(len(one), np.int64), np.zeros(len(one), np.int64)
@@ -337,17 +366,8 @@ def _repeated(words: DataFrame, width: int, parts: int) -> DataFrame:
                 runner[own] = more.min() if len(more) else np.iinfo(np.int64).max
             # back to the occurrences
             first_suffix = np.cumsum(n[one]) - n[one]
-            src = np.repeat(first_suffix[to], n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
-            doc = np.repeat(ids, n)
-            pos = np.repeat(low, n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n))
-            other = np.where(lowest[src] != doc, lowest[src], runner[src])
-            hit = lowest[src] != highest[src]
-            doc, pos, other = doc[hit], pos[hit], other[hit]
-            new = np.ones(len(doc), dtype=bool)
-            new[1:] = (doc[1:] != doc[:-1]) | (pos[1:] != pos[:-1] + 1) | (other[1:] != other[:-1])
-            begin = np.flatnonzero(new)
-            end = np.append(begin[1:], len(doc)) - 1
-            yield pa.RecordBatch.from_arrays([pa.array(doc[begin]), pa.array(pos[begin]), pa.array(pos[end] if len(doc) else pos), pa.array(other[begin])], ["doc_id", "low", "high", "other"])
+            for k in range(0, len(to), BLOCK):
+                yield runs_of(ids[k : k + BLOCK], low[k : k + BLOCK], n[one][to[k : k + BLOCK]], first_suffix[to[k : k + BLOCK]], lowest, highest, runner)
 
     return words.repartition(parts, "part").mapInArrow(run, "doc_id long, low long, high long, other long")
 
