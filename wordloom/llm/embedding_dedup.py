@@ -118,7 +118,7 @@ def cell_pairs(x: np.ndarray, table: int, axes: int, left: np.ndarray, right: np
     n, dim = x.shape
     s = sigma(dim, t)
     p = x @ directions(dim, LINES, 2)
-    rank, low, high = (np.empty((LINES, n), np.int32) for _ in range(3))
+    rank, low, high = (np.empty((LINES, n), np.int16 if n < 2**15 else np.int32) for _ in range(3))
     for k in range(LINES):
         o = np.argsort(p[:, k], kind="stable")
         line = p[o, k]

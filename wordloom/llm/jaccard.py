@@ -36,7 +36,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._links import LINKS, Tally, classes_of, components
@@ -641,8 +641,8 @@ def one_of_each(docs: DataFrame, n: int = GRAM, t: float = THRESHOLD, **how) ->
 
     key = same(F.col("text").cast("string"))
     marked = rows.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("r"), F.col("doc_id").alias("i"), F.col("text").cast("string").alias("t"), key.alias("k"))
-    one = Window.partitionBy("i", "k", F.when(F.col("k").isNull(), F.col("t"))).orderBy("t", F.to_json("r"))
-    first = marked.withColumn("at", F.row_number().over(one)).filter("at = 1").select("r.*")
+    one = marked.groupBy("i", "k", F.when(F.col("k").isNull(), F.col("t"))).agg(F.min_by("r", F.struct("t", F.to_json("r"))).alias("r"))  # in part where rows are read
+    first = one.select("r.*")
     return alone.select(docs.columns).union(first.select(docs.columns))
 
 
