@@ -168,3 +168,42 @@ def test_one_of_each_keeps_one_of_repeated_rows(spark):
     assert left.columns == df.columns
     got = sorted((x.doc_id or 0, (x.text or "").lower()) for x in left.collect())
     assert got == sorted([(1, a), (1, b), (3, c), (0, c), (0, a), (0, ""), (4, ""), (4, "!"), (5, "x y")])
+
+
+def test_points_without_a_home_meet_home_points_alone(spark):
+    """A region with few home points and many others: what is copied grows with neither their product nor the others' square."""
+    homes, others = list(range(3)), list(range(10, 210))
+    rows = [(0, i, i, 0 if i < 10 else -1, 0.1 if i < 10 else 0.3 + 0.002 * (i % 100), b"") for i in homes + others]
+    members = spark.createDataFrame(rows, "region int, set_id long, head long, home int, d double, grams binary")
+    got = J._blocks(members, 0.5, 20).collect()
+    tasks = {}
+    for x in got:
+        tasks.setdefault((x.low, x.high), {}).setdefault(x.block, set()).add(x.set_id)
+    met = [tuple(sorted((i, j))) for (a, b), t in tasks.items() for i in t.get(a, ()) for j in t.get(b, ()) if a != b or i < j]
+    assert sorted(met) == sorted([(i, j) for i in homes for j in others] + [(0, 1), (0, 2), (1, 2)])
+    assert len(got) <= len(others) + len(homes) * (len(tasks) + 1)
+    assert all(len(s) <= 40 for t in tasks.values() for s in t.values())
+
+
+def test_regions_hold_what_a_home_point_can_reach(spark):
+    """A shared line that dense short texts consist of does not draw all longer texts that hold it into their region."""
+    r = random.Random(2)
+    word = lambda: f"v{r.randrange(10**9)}"
+    line = [word() for _ in range(24)]
+    rows = [(i, " ".join(line + [word()])) for i in range(30)] + [(100 + i, " ".join(line + [word() for _ in range(90)])) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    pts = J.points(df)
+    found = J.different_sets(pts)
+    pivots = J._pivots(df, found, 5, 20, 0.4, 10**6)
+    held = J._memberships(df, pivots, 5, 0.5, 0.4).filter("head >= 100")
+    assert held.count() == 0
+    assert sorted((x.doc_id, x.class_id, x.links) for x in J.classes(df, dense=20).collect()) == sorted((i, *x) for i, x in brute_classes(rows).items())
+
+
+def test_common_grams_are_counted_by_matrix_and_one_by_one():
+    r = np.random.default_rng(7)
+    base = r.integers(0, 2**62, 80).astype(np.uint64)
+    parts = [np.unique(np.where(r.random(80) < 0.2, r.integers(0, 2**62, 80).astype(np.uint64), base) if i % 3 else r.choice(base, 5)) for i in range(90)]
+    for queries in (np.arange(90), np.arange(4)):
+        got = {int(q): c.tolist() for q, c in J.common_counts(parts, queries)}
+        assert got == {int(q): [len(np.intersect1d(parts[q], p)) for p in parts] for q in queries}

@@ -5,12 +5,13 @@ words).  ``1 - Jaccard`` is a metric; every pair of different sets within ``r =
 one point of the space, so copies are collapsed first and tied to the first document that holds the set.
 :func:`classes` gives a row for each document (its class and number of links), :func:`join` the pairs of sets.
 
-1. *Document pivots.*  Sets whose least gram many sets share are pivots (dense places).
+1. *Document pivots.*  Where many sets share their least gram (dense places) the grams that most of a sample of them have are a pivot.
    A point within RHO of a pivot has the region of its nearest pivot as home.  A partner
-   of a home point is within ``RHO + r < 1`` of the pivot, so every point in that window is
-   replicated to the region.  A region joins its home points with all it holds, recursively: a large region is cut
-   into rings around its pivot and rings into blocks of at most ROOM points, two of which, if the triangle
-   inequality lets their rings meet, are a task; in a task cells of further pivots take
+   of a home point is within ``RHO + r < 1`` of the pivot; the distances and sizes of the home points there are narrow that
+   to what a partner of one of them can have, and every point in that window is
+   replicated to the region.  A region joins its home points with all it holds, recursively: the home points of a large region are cut
+   into rings around its pivot and rings into blocks of at most ROOM points, the others likewise; a block of home points and
+   another block, if the triangle inequality lets their rings meet, are a task; in a task cells of further pivots take
    the points whose distances that inequality allows.
 2. *Gram pivots.*  The other points are nearly 1 from all documents, where document pivots
    prune nothing.  There the pivots are single grams in one global order, light grams
@@ -19,7 +20,7 @@ one point of the space, so copies are collapsed first and tied to the first docu
    its first common gram.  The common grams of a pair are counted over all regions;
    ``counted + remaining`` bounds the intersection, and what passes is verified on whole sets.
 
-Both parts are exact for any choice of pivots, order and bounds of what is broadcast (PIVOTS, PIVOT_GRAMS, HEAVY_GRAMS, REPEATS,
+Both parts are exact for any choice of pivots, order and bounds of what is broadcast or sampled (PIVOTS, PIVOT_GRAMS, SAMPLE, HEAVY_GRAMS, REPEATS,
 ASKED, ``components``'s ``driver``): these decide how a pair is found, never whether.  Sets and grams are told apart by
 64-bit hashes.  Tasks tell how many partners a set has and where they lead, so what is shuffled
 does not grow with the pairs of a dense place.
@@ -36,7 +37,7 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ._links import LINKS, Tally, classes_of, components
@@ -51,6 +52,10 @@ RHO = 0.4
 DENSE = 24
 #: pivots, and pivots' grams, at most, all told (they are broadcast); fewer pivots are still exact
 PIVOTS, PIVOT_GRAMS = 4096, 1_000_000
+#: sets of a dense place whose common grams are its pivot
+SAMPLE = 9
+#: sets and frequent grams, at most, that are multiplied as a matrix of floats
+CELLS = 2_000_000
 #: sets that share a window gram before it is heavy
 HEAVY = 32
 #: heavy grams at most (they are broadcast): beyond it HEAVY is raised
@@ -146,8 +151,8 @@ def first_rows(docs: DataFrame, pts: DataFrame, found: DataFrame) -> DataFrame:
 
 
 class _Pivots:
-    def __init__(self, ids: np.ndarray, parts: list[np.ndarray]):
-        self.ids, self.sizes = ids, np.array([len(p) for p in parts], dtype=np.int64)
+    def __init__(self, parts: list[np.ndarray]):
+        self.sizes = np.array([len(p) for p in parts], dtype=np.int64)
         every = np.concatenate([*parts, _NONE])
         owner = np.repeat(np.arange(len(parts)), self.sizes)
         order = np.argsort(every, kind="stable")
@@ -161,15 +166,25 @@ class _Pivots:
             return k, np.zeros(0)
         count, begin = self.count[k], self.begin[k]
         at = np.repeat(begin - np.concatenate([[0], np.cumsum(count)[:-1]]), count) + np.arange(count.sum())
-        common = np.bincount(self.owner[at], minlength=len(self.ids))
+        common = np.bincount(self.owner[at], minlength=len(self.sizes))
         p = np.flatnonzero(common)
         return p, 1 - common[p] / (self.sizes[p] + len(s) - common[p])
 
+    def home(self, p: np.ndarray, d: np.ndarray, rho: float) -> tuple[int, float]:
+        """The nearest of the pivots at these distances and its distance, or -1 if it is over ``rho`` away."""
+        if not len(p):
+            return -1, 1.0
+        k = int(np.lexsort((p, d))[0])
+        return (int(p[k]) if d[k] <= rho else -1), float(d[k])
+
 
 def _pivots(docs: DataFrame, found: DataFrame, n: int, dense: int, rho: float, room: int) -> _Pivots | None:
-    heads = found.groupBy("least").agg(F.count("*").alias("c"), F.min(F.struct("set_id", "head", "n")).alias("p")).filter(F.col("c") >= dense)
-    rows = heads.select("c", "p.*").orderBy(F.desc("c"), "set_id").limit(PIVOTS).toPandas()
-    rows = rows[rows["n"].cumsum() <= room]
+    """Of each dense place the grams that most of SAMPLE of its sets have: nearer to copies with other words than these are to each other."""
+    counts = found.groupBy("least").agg(F.count("*").alias("c")).filter(F.col("c") >= dense)
+    places = kept(counts.orderBy(F.desc("c"), "least").limit(PIVOTS))
+    ranked = found.join(F.broadcast(places), "least").withColumn("k", F.row_number().over(Window.partitionBy("least").orderBy("set_id"))).filter(F.col("k") <= SAMPLE)
+    rows = ranked.orderBy(F.desc("c"), "least", "k").select("least", "set_id", "head", "n").toPandas()  # PIVOTS * SAMPLE rows at most
+    rows = rows[rows["n"].cumsum() <= 4 * room]
     if not len(rows):
         return None
     wanted = dict(zip(rows["set_id"].tolist(), rows["head"].tolist()))
@@ -179,16 +194,23 @@ def _pivots(docs: DataFrame, found: DataFrame, n: int, dense: int, rho: float, r
             out = {k: s.tobytes() for _, s in sets(batch.column("text"), n) if len(s) and (k := set_id(s)) in wanted}
             yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array(list(out.values()), pa.binary())], ["set_id", "grams"])
 
-    own = docs.join(F.broadcast(docs.sparkSession.createDataFrame([(d,) for d in set(wanted.values())], "doc_id long")), "doc_id")  # PIVOTS at most
-    got = own.mapInArrow(run, "set_id long, grams binary").distinct().toPandas().sort_values("set_id")
-    got = got.set_index("set_id").loc[[k for k in rows["set_id"] if k in set(got["set_id"])]].reset_index()
-    parts = [np.frombuffer(b, dtype=np.uint64) for b in got["grams"]]
-    size, free, chosen = np.array([len(p) for p in parts]), np.ones(len(parts), dtype=bool), []
+    own = docs.join(F.broadcast(docs.sparkSession.createDataFrame([(d,) for d in set(wanted.values())], "doc_id long")), "doc_id")  # PIVOTS * SAMPLE at most
+    got = own.mapInArrow(run, "set_id long, grams binary").distinct().toArrow()
+    grams = {k: np.frombuffer(b.as_buffer(), dtype=np.uint64) for k, b in zip(got["set_id"].to_pylist(), got["grams"])}
+    parts = []
+    for _, own in rows.groupby("least", sort=False):
+        held = [grams[k] for k in own["set_id"] if k in grams]
+        if held:
+            g, c = np.unique(np.concatenate(held), return_counts=True)
+            parts.append(g[2 * c > len(held)] if (2 * c > len(held)).any() else held[0])
+    size = np.array([len(p) for p in parts])
+    parts = [p for p, ok in zip(parts, np.cumsum(size) <= room) if ok]
+    size, free, chosen = size[: len(parts)], np.ones(len(parts), dtype=bool), []
     for q, common in common_counts(parts, np.arange(len(parts))):  # densest first; none within rho of an earlier one
         if free[q]:
             chosen.append(q)
             free &= 1 - common / (size + size[q] - common) > rho
-    return _Pivots(got["set_id"].to_numpy()[chosen], [parts[q] for q in chosen])
+    return _Pivots([parts[q] for q in chosen]) if chosen else None
 
 
 def _by_head(table: pa.Table, names: list[str]):
@@ -200,23 +222,57 @@ def _by_head(table: pa.Table, names: list[str]):
 # ---------------------------------------------------------------- regions of document pivots
 
 
-def _memberships(docs: DataFrame, pivots: _Pivots, n: int, t: float, rho: float) -> DataFrame:
-    """(region, set_id, head, home, d, grams): a point in each region whose window holds it; home is its own region, -1 if it has none."""
+class _Homes:
+    """Of the home points of each region, by ring around its pivot: their distances and sizes, from least to most; what no partner of theirs can have has no place in the region."""
+
+    def __init__(self, rings, regions: int, t: float):
+        self.far = np.tile(np.array([np.inf, -np.inf, np.inf, -np.inf]), (regions, RINGS, 1))
+        self.far[rings["region"], rings["ring"]] = rings[["near", "far", "least", "most"]].to_numpy() * [1, 1, t, 1 / t] + np.array([t - 1, 1 - t, 0, 0]) + np.array([-1e-9, 1e-9, -1e-9, 1e-9])
+
+    def window(self, p: np.ndarray, d: np.ndarray, n: int) -> np.ndarray:
+        near, far, least, most = np.moveaxis(self.far[p], 2, 0)
+        return ((near <= d[:, None]) & (d[:, None] <= far) & (least <= n) & (n <= most)).any(axis=1)
+
+
+def _homes(docs: DataFrame, pivots: _Pivots, n: int, t: float, rho: float) -> _Homes:
     cast = docs.sparkSession.sparkContext.broadcast(pivots)
+    kinds = {"region": np.int32, "ring": np.int32, "near": np.float64, "far": np.float64, "least": np.int32, "most": np.int32}
 
     def run(batches):
-        pv, seen = cast.value, set()
+        pv, told = cast.value, {}
+        for batch in batches:
+            for _, s in sets(batch.column("text"), n):
+                region, d = pv.home(*pv.distances(s), rho)
+                if region >= 0:
+                    x = told.setdefault((region, min(RINGS - 1, int(d * RINGS))), [d, d, len(s), len(s)])
+                    x[:] = min(x[0], d), max(x[1], d), min(x[2], len(s)), max(x[3], len(s))
+        rows = [(*k, *x) for k, x in told.items()]
+        cols = list(zip(*rows)) or [()] * 6
+        yield pa.RecordBatch.from_arrays([pa.array(np.array(c, dtype=k)) for c, k in zip(cols, kinds.values())], list(kinds))
+
+    rows = docs.mapInArrow(run, "region int, ring int, near double, far double, least int, most int")
+    rings = rows.groupBy("region", "ring").agg(F.min("near").alias("near"), F.max("far").alias("far"), F.min("least").alias("least"), F.max("most").alias("most"))
+    return _Homes(rings.toPandas(), len(pivots.sizes), t)  # PIVOTS * RINGS rows at most
+
+
+def _memberships(docs: DataFrame, pivots: _Pivots, n: int, t: float, rho: float) -> DataFrame:
+    """(region, set_id, head, home, d, grams): a point in its home region and in each later one (or, without a home, in each) of which a home point can be within r; home is its own region, -1 if it has none."""
+    cast = docs.sparkSession.sparkContext.broadcast((pivots, _homes(docs, pivots, n, t, rho)))
+
+    def run(batches):
+        (pv, homes), seen = cast.value, set()
         for batch in batches:
             ids, rows = batch.column("doc_id").to_numpy(zero_copy_only=False), []
             for at, s in sets(batch.column("text"), n):
                 p, d = pv.distances(s)
-                near = d <= rho + 1 - t + 1e-9
+                if not len(p):
+                    continue
+                home, _ = pv.home(p, d, rho)
+                near = (p >= home) & homes.window(p, d, len(s))  # of two regions that both have a pair, the lower one tells it
                 if near.any() and (key := (int(ids[at]), set_id(s))) not in seen:
                     seen.add(key)
-                    k = int(np.lexsort((p, d))[0])
-                    home = int(p[k]) if d[k] <= rho else -1
                     raw = s.tobytes()
-                    rows += [(int(q), key[1], key[0], home, float(x), raw) for q, x in zip(p[near], d[near]) if x <= d[k] + 2 * (1 - t) + 1e-9]
+                    rows += [(int(q), key[1], key[0], home, float(x), raw) for q, x in zip(p[near], d[near])]
             cols = list(zip(*rows)) or [()] * 6
             kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int32(), pa.float64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["region", "set_id", "head", "home", "d", "grams"])
@@ -225,7 +281,7 @@ def _memberships(docs: DataFrame, pivots: _Pivots, n: int, t: float, rho: float)
 
 
 def common_counts(parts: list[np.ndarray], queries: np.ndarray):
-    """(query, common grams with each part) for each query."""
+    """(query, common grams with each part) for each query.  Grams that many parts have are counted by a product of matrices, the others one by one."""
     size = np.array([len(p) for p in parts])
     owner = np.repeat(np.arange(len(parts)), size)
     every = np.concatenate([*parts, _NONE])
@@ -238,11 +294,27 @@ def common_counts(parts: list[np.ndarray], queries: np.ndarray):
     where = np.empty(len(order), dtype=np.int64)
     where[order] = np.cumsum(new) - 1
     start = np.concatenate([[0], np.cumsum(size)])
-    for q in queries:
-        k = where[start[q] : start[q + 1]]
-        c, b = count[k], begin[k]
-        at = np.repeat(b - np.concatenate([[0], np.cumsum(c)[:-1]]), c) + np.arange(c.sum())
-        yield q, np.bincount(owner[at], minlength=len(parts))
+    dense = np.flatnonzero(count > max(16, len(parts) // 16)) if len(queries) >= 32 else np.zeros(0, np.int64)
+    dense = dense[np.argsort(-count[dense], kind="stable")][: CELLS // max(1, len(parts))]
+    rare = np.ones(len(begin), dtype=bool)
+    rare[dense] = False
+    table = np.zeros((len(parts), len(dense)), dtype=np.float32)
+    for k, g in enumerate(dense):
+        table[owner[begin[g] : begin[g] + count[g]], k] = 1
+    step = max(1, CELLS // 4 // max(1, len(parts)))
+    for low in range(0, len(queries), step):
+        lot = queries[low : low + step]
+        base = (table[lot] @ table.T).astype(np.int64) if len(dense) else None  # exact: whole numbers under 2 ** 24
+        for row, q in enumerate(lot):
+            k = where[start[q] : start[q + 1]]
+            k = k[rare[k] & (count[k] > 1)]
+            c, b = count[k], begin[k]
+            at = np.repeat(b - np.concatenate([[0], np.cumsum(c)[:-1]]), c) + np.arange(c.sum())
+            common = np.bincount(owner[at], minlength=len(parts))
+            if base is not None:
+                common += base[row]
+            common[q] = size[q]
+            yield q, common
 
 
 def region_pairs(parts: list[np.ndarray], home: np.ndarray, t: float, leaf: int = LEAF):
@@ -275,29 +347,40 @@ def region_pairs(parts: list[np.ndarray], home: np.ndarray, t: float, leaf: int
 
 
 def _blocks(members: DataFrame, t: float, room: int) -> DataFrame:
-    """``members`` with (low, high, block): a region of over ``room`` points is cut into rings around its pivot, rings into blocks;
-    a point goes to the task of each two blocks, its own one of them, whose rings the triangle inequality lets meet."""
-    sizes = members.groupBy("region", F.least(F.lit(RINGS - 1), F.floor(F.col("d") * RINGS)).cast("int").alias("ring")).count().toPandas()  # PIVOTS * RINGS rows at most
+    """``members`` with (low, high, block): the home points of a region of over ``room`` points are cut into blocks, and so are the others, which
+    come after; over ``room`` home points first into rings around its pivot.  A home point goes to the task of its own block and each other one,
+    another point to those of its own block and each block of home points, if the triangle inequality lets their rings meet: what
+    is compared grows with the home points, whatever their number beside them."""
+    rings = F.least(F.lit(RINGS - 1), F.floor(F.col("d") * RINGS)).cast("int")
+    sizes = members.groupBy("region", rings.alias("ring"), (F.col("home") == F.col("region")).alias("own")).count().toPandas()  # 2 * PIVOTS * RINGS rows at most
     plan = {}
     for region, x in sizes.groupby("region"):
-        blocks = np.zeros(RINGS, dtype=np.int64)
-        if x["count"].sum() <= room:
-            blocks[0] = 1
-        else:
-            blocks[x["ring"]] = -(-x["count"] // room)
-        plan[int(region)] = (bool(x["count"].sum() > room), np.concatenate([[0], np.cumsum(blocks)]))
+        count = np.zeros((2, RINGS), dtype=np.int64)  # home points, others
+        count[1 - x["own"].astype(int), x["ring"]] = x["count"]
+        ringed = bool(count[0].sum() > room)
+        if not ringed:
+            count[:, 0] = count.sum(axis=1)
+            count[:, 1:] = 0
+        plan[int(region)] = (bool(count.sum() > room), ringed, np.concatenate([[0], np.cumsum(-(-count // room))]))
     cast = members.sparkSession.sparkContext.broadcast(plan)
     reach = int((1 - t + 1e-9) * RINGS) + 1
 
     def run(batches):
         for batch in batches:
-            region, d, ids = (batch.column(c).to_numpy() for c in ("region", "d", "set_id"))
+            region, home, d, ids = (batch.column(c).to_numpy() for c in ("region", "home", "d", "set_id"))
             row, own, other = [], [], []
             for k in range(len(region)):
-                cut, first = cast.value[int(region[k])]
-                ring = min(RINGS - 1, int(d[k] * RINGS)) if cut else 0
-                mine = int(first[ring]) + int(mix(ids[k : k + 1].view(np.uint64))[0] % _U(first[ring + 1] - first[ring]))
-                others = range(int(first[max(0, ring - reach)]), int(first[min(RINGS, ring + reach + 1)]))
+                cut, ringed, first = cast.value[int(region[k])]
+                if not cut:
+                    mine, others = 0, [0]
+                else:
+                    ring = min(RINGS - 1, int(d[k] * RINGS)) if ringed else 0
+                    low, high = max(0, ring - reach), min(RINGS, ring + reach + 1)
+                    spot = ring if home[k] == region[k] else RINGS + ring
+                    mine = int(first[spot]) + int(mix(ids[k : k + 1].view(np.uint64))[0] % _U(first[spot + 1] - first[spot]))
+                    others = [*range(int(first[low]), int(first[high]))]
+                    if spot < RINGS:
+                        others += range(int(first[RINGS + low]), int(first[RINGS + high]))
                 row += [k] * len(others)
                 own += [mine] * len(others)
                 other += others
@@ -312,15 +395,15 @@ def _joined_regions(members: DataFrame, t: float, room: int, whole: bool) -> Dat
     def run(table: pa.Table) -> pa.Table:
         region, high = table["region"][0].as_py(), table["high"][0].as_py()
         ids, heads, homes, block, parts = _by_head(table, ["set_id", "head", "home", "block", "grams"])
-        tally, home, far = Tally(ids, heads, whole), homes == region, np.where(homes < 0, np.iinfo(homes.dtype).max, homes)
+        tally, home = Tally(ids, heads, whole), homes == region
         if table["low"][0].as_py() == high:
             for i, j, s in region_pairs(parts, home, t):
-                ok = (far[j] > region) | ((homes[j] == region) & (i < j))  # of two regions that both have the pair, the lower one tells it
+                ok = ~home[j] | (i < j)
                 tally.add(np.full(ok.sum(), i), j[ok], s[ok])
             return tally.table("jaccard")
         size, other = np.array([len(p) for p in parts], dtype=np.int64), block == high
-        for i, common in common_counts(parts, np.flatnonzero(~other)):
-            j = np.flatnonzero(other & (np.minimum(far[i], far) == region) & (common >= t / (1 + t) * (size + size[i]) - 1e-9))
+        for i, common in common_counts(parts, np.flatnonzero(~other)):  # the lower block is of home points
+            j = np.flatnonzero(other & (common >= t / (1 + t) * (size + size[i]) - 1e-9))
             tally.add(np.full(len(j), i), j, common[j] / (size[j] + size[i] - common[j]))
         return tally.table("jaccard")
 
