@@ -46,6 +46,18 @@ def test_quantize(spark, c, m, want):
     assert one(spark, fn.quantize(F.lit(c), F.lit(m))) == want
 
 
+def test_weights_of_powers_are_those_of_sql(spark):
+    import duckdb
+
+    pairs = [(b**p, b**q) for b in range(2, 60) for q in (2, 3, 5, 6, 9, 10, 15) for p in range(q + 1) if b**q < 1 << 40]
+    con = duckdb.connect()
+    ln = {n: con.execute("SELECT ln(?::DOUBLE)", [n]).fetchone()[0] for n in {x for pair in pairs for x in pair}}
+    want = {(c, m): int(min(1.0, ln[c] / max(ln[m], 1.0)) * 65535) for c, m in pairs}
+    df = spark.createDataFrame(pairs, "c long, m long")
+    assert {(r.c, r.m): r.w for r in df.withColumn("w", fn.quantize(F.col("c"), F.col("m"))).collect()} == want
+    assert want[3, 243] == 13107
+
+
 @pytest.mark.parametrize("c,want", [(1, 6931), (2, 10986), (700, 65525), (701, 65535)])
 def test_edge_score(spark, c, want):
     assert one(spark, fn.edge_score(F.lit(c), F.lit(NOW), NOW)) == want
