@@ -309,3 +309,42 @@ def test_streams(spark, tmp_path):
     words, edges = history_state(spark, state)
     assert {r.word: (r.word_id - history.FIRST_ID, r.freq) for r in words.collect()} == {"gox": (0, 3), "new": (1, 1), "newer": (2, 1)}
     assert edges.count() == 5
+
+
+def test_corpus_in_ids(spark):
+    from wordloom.operators import coded
+
+    nel, nb, thin = chr(0x85), chr(0xA0), chr(0x2009)
+    texts = ["The cat's 42 sat\r\n the Cat sat" + nel + "on", None, "", "a" + nb + "b" + thin + "c" + chr(0x3000) + "d\n\n", "x\x1cy z\x1fz\n\n", "Ünï ünï ΑΣ ας", "the cat's sat the cat's sat on"]
+    df = docs(spark, *texts)
+    own = coded.coded(df)
+    assert own.chunks.agg(F.sum("lines")).first()[0] == sum(t.count("\n") + 1 for t in texts if t is not None)
+    for mode in ("corpus_en", "syllable"):
+        if mode == "syllable":
+            names = lexicon.syllables(df.select("text")).select(F.col("text").alias("lower"), "word_id")
+        else:
+            assert sorted(lexicon.piece_forms(own.pieces).collect()) == sorted(lexicon.surface_forms(df).collect())
+            names = lexicon.canonical(lexicon.build_lexicon(lexicon.surface_forms(df)))
+        ids, lines = coded.ids(own, names, mode), fn.token_lines(df, mode)
+        rows = lambda x: sorted(map(tuple, x.collect()))
+        want = ngrams.encoded(ngrams.bigram_counts(lines), names, {"next": "next_id", "prev": "prev_id"}).select("prev_id", "next_id", "cnt")
+        assert rows(coded.pair_counts(ids).drop("followed")) == rows(want) != []
+        tri = ngrams.trigram_ids(lines, names)
+        for k in (1, 3, 100):
+            pairs = ngrams.top_pairs(tri, k)
+            assert rows(coded.top_pairs(coded.pair_counts(ids), k)) == rows(pairs)
+            assert rows(coded.trigram_counts(ids, pairs)) == rows(tri.join(pairs.select("w1", "w2"), ["w1", "w2"], "left_semi"))
+
+
+def test_a_saved_model_writes_what_is_asked_for(spark, tmp_path):
+    from wordloom.plans import model
+
+    df = docs(spark, "a b a b c\nthe end", "b a b")
+    own = model.Building(df, str(tmp_path / "m"))
+    assert own.lexicon.count() == 5
+    assert sorted(p.name for p in (tmp_path / "m").iterdir()) == ["lexicon"]
+    assert own.bigram.count() == 4
+    assert sorted(p.name for p in (tmp_path / "m").iterdir()) == ["bigram", "lexicon", "names"]
+    model.build(df, str(tmp_path / "n"))
+    got = model.read(spark, str(tmp_path / "n"))
+    assert sorted(got.bigram.collect()) == sorted(own.bigram.collect()) and sorted(got.trigram.collect()) == sorted(own.trigram.collect()) != []
