@@ -148,6 +148,20 @@ def test_expanding_prefixes(spark):
     assert [(r.step, r.context, r.last_word) for r in got] == [(1, "a", "a"), (2, "a b", "b"), (3, "a b c", "c")]
 
 
+def test_report_of_prefixes(spark):
+    lex, names, bi, tri = _model(spark)
+    texts = ["r q", "r q x", "q Q? r  q\nthe end", "!! q q", "one", "", None, "zz r", "q r q x"]
+    q = spark.createDataFrame([(k, t) for k, t in enumerate(texts)] + [(None, "q q")], "query_id long, text string")
+    for lexicon_, t in ((lex, tri), (lex, None), (lex.filter("word <> 'y'"), tri)):
+        steps = suggest.expand_prefixes(q, ["query_id"])
+        want = suggest.report(steps, suggest.suggest(steps.withColumnRenamed("context", "text"), names, lexicon_, bi, t, suggest.BOOST_EN, keys=["query_id", "step"]), ["query_id", "step"])
+        got = suggest.prefix_report(q, names, lexicon_, bi, t, suggest.BOOST_EN)
+        assert got.columns == want.columns
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    one = {r.step: (r.context, r.last_word, r.model_used, r.top_suggestions) for r in suggest.prefix_report(q, names, lex, bi, tri).filter("query_id = 1").collect()}
+    assert one == {1: ("r", "r", "None", ""), 2: ("r q", "q", "Trigram", "y(65535)")}
+
+
 def test_pruned_tracker(spark):
     n = 1
     text = "\n".join(f"p w{i:03d}" for i in range(100)) + "\np w000\np w000\np w007" + "\np new1\np w007\np w007\nq z"
