@@ -171,6 +171,27 @@ def test_pruned_tracker(spark):
     assert got == {("p", "waah", 4), ("q", "z", 1)}
 
 
+def test_pruned_trackers_over_ordered_chunks(spark):
+    import random
+
+    from wordloom.operators import coded
+
+    r = random.Random(7)
+    word = lambda: "".join(r.choices("abcdeé", k=r.choice([1, 2, 4])))
+    texts = ["\n".join(" ".join(x for _ in range(8) for x in (r.choice(["p", "Q", "p'"]), word(), "7" * (r.random() < 0.1))) for _ in range(r.randint(0, 12))) for _ in range(60)]
+    df = spark.createDataFrame(r.sample(list(enumerate(texts)), 60), "doc_id long, text string").repartition(5)
+    rows = lambda x: sorted(map(tuple, x.collect()))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        for n in (1, 2):
+            want, counts = rows(ngrams.bigrams_pruned(fn.token_lines(df), n)), rows(ngrams.top_n(ngrams.bigram_counts(fn.token_lines(df)), ["prev"], "next", n))
+            assert rows(coded.bigrams_pruned(df, n)) == want
+            assert n > 1 or want != counts  # something was pruned
+        assert rows(coded.bigrams_pruned(df, 1000)) == rows(ngrams.bigrams_pruned(fn.token_lines(df), 1000))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_model_files(spark, tmp_path):
     t = spark.createDataFrame([(1, 2, 3, 1, 9)], "prev_id long, next_id long, cnt long, rank int, weight int")
     write_model(t, str(tmp_path / "m"), "bigram", 5, 10)
