@@ -249,6 +249,21 @@ def test_a_batch_that_is_run_again_replaces_itself(spark, tmp_path):
     assert {(w, f) for _, w, _, f, _, _ in once[0]} == {("gox", 3), ("new", 2), ("newer", 1)}
 
 
+def test_a_batch_is_read_once(spark, tmp_path):
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    batch = _said(spark, "gox hello world", "new gox")
+    learn_batch(batch.coalesce(1).mapInArrow(counted, batch.schema), 0, _known(spark), str(tmp_path / "h"))
+    assert read.value == 2 * 2  # its uses are joined to the private words they begin, and never made again for the edges
+    words, edges = history_state(spark, str(tmp_path / "h"))
+    assert {r.word: r.freq for r in words.collect()} == {"gox": 2, "new": 1} and edges.count() == 3
+
+
 def test_snapshots_are_pruned(spark, tmp_path):
     path = str(tmp_path / "h")
     learn_batch(_said(spark, *(["hello my"] * 3 + ["hello name", "hello is", "hello hello"])), 0, _known(spark), path, every=1, over=3, keep=1)

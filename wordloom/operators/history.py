@@ -40,7 +40,11 @@ def resolved(messages: DataFrame, known: DataFrame, private: DataFrame | None =
 
 def learn(messages: DataFrame, known: DataFrame, private: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(words, edges) that the messages add.  A message is one chain; only private words have word stats; a word without an id left breaks the chain."""
-    t = resolved(messages, known, private)
+    return learned(resolved(messages, known, private))
+
+
+def learned(t: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(words, edges) of the tokens that :func:`resolved` gives."""
     words = t.filter("own AND word_id IS NOT NULL").groupBy("user_id", F.col("token").alias("word"), "word_id").agg(F.count("*").alias("freq"), F.lit(0).cast("long").alias("accept"), F.max("now").alias("last_used"))
     w = Window.partitionBy("user_id", "seq").orderBy("pos")
     pairs = t.select("user_id", "now", F.lag("word_id").over(w).alias("prev_id"), F.col("word_id").alias("next_id")).filter("prev_id IS NOT NULL AND next_id IS NOT NULL")

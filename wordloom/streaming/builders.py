@@ -18,6 +18,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..functions import token_lines
 from ..operators import history, ngrams
+from ..session import stored
 
 #: batches between snapshots
 EVERY = 20
@@ -58,7 +59,8 @@ def learn_batch(batch: DataFrame, number: int, known: DataFrame, path: str, ever
     """Learn the messages of one batch into the history under ``path``; run again, it replaces what it wrote."""
     spark = batch.sparkSession
     had, _ = history_state(spark, path, number)
-    for name, df in zip(TABLES, history.learn(batch, known, had.select("user_id", "word", "word_id"))):
+    uses = stored(history.resolved(batch, known, had.select("user_id", "word", "word_id")))  # both tables are made of it
+    for name, df in zip(TABLES, history.learned(uses)):
         df.write.mode("overwrite").parquet(f"{path}/{name}/batch={number}")
     if (number + 1) % every == 0:
         words, edges = history_state(spark, path, number + 1)
